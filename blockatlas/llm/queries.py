@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import bpe, mixing, warc
 
 QUERIES = {
+    "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 
 ORACLES = {
+    "op4_warc_salvage": warc.ORACLE.format(pages="pages"),
     "op5_mix_sources": mixing.ORACLE.format(documents="documents"),
 }
