@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, warc
+from . import bpe, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_quality_qda": quality.op9_quality_qda,
+    "op10_toxicity_ftrl": toxicity.op10_toxicity_ftrl,
 }
 
 ORACLES = {

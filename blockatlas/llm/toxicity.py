@@ -3,7 +3,7 @@
 Features of a text are its words, word pairs and pairs with one or two words skipped, each hashed
 to ``2**BITS`` slots and present or not. Learning goes through a bounded sample of labelled rows,
 in the order of the ids' hashes, with per-coordinate rates; the L1 term leaves few weights, and
-only those (at most ``2**BITS``) travel to the executors. Scoring covers every whole text.
+only those (at most ``2**BITS``, rescaled so that 0.5 is an even bet on the sample) travel to the executors. Scoring covers every whole text.
 
 Documented bound: ``TRAIN_ROWS`` labelled rows are learned from in expectation (chosen by hash,
 evenly over all labelled rows); everything else covers all rows.
@@ -27,11 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import batch_of, id_crc, pieces, schema_of
 from .mixing import hash60
+from .quality import fit_scale
 from .store import Scratch
 
 BITS = 20
 TRAIN_ROWS = 12_000
-EPOCHS = 2
+EPOCHS = 3
 _WORDS = re.compile(r"\w+").findall
 _KNOWN: dict[str, int] = {}
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -74,7 +75,7 @@ def slots_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """Per-coordinate FTRL-proximal for logistic loss on binary features; slot -1 (the last) is the bias."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros((1 << BITS) + 1)
         self.n = np.zeros((1 << BITS) + 1)
@@ -121,6 +122,13 @@ def fit(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray,
                 model.learn(slots, label)
         every = np.arange((1 << BITS) + 1)
         w = model.weights(every) if kept else np.zeros(len(every))
+        labels = np.array([label for _, label in kept])
+        if len(set(labels.tolist())) == 2:
+            # L1 and rare positives leave the margins small and shifted: refit their slope and shift.
+            margin = np.array([w[slots].sum() for slots, _ in kept]) + w[-1]
+            slope, shift = fit_scale(np.concatenate([margin, margin]), np.stack([np.concatenate([1.0 - labels, 0.0 * labels]), np.concatenate([0.0 * labels, 1.0 * labels])]))
+            w *= slope
+            w[-1] += shift
         found = np.flatnonzero(w)
         yield batch_of(schema_of("slot int, w double"), [found.astype(np.int32), w[found]])
 
