@@ -39,8 +39,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .arrow import batch_of, id_crc, pieces, schema_of
 from .store import Scratch
 
-DEPTH = 4
-CHUNK_BYTES = 24 << 20
+DEPTH = 5
+CHUNK_BYTES = 40 << 20
+BUNDLE_GRAMS = 400_000
 END = b"\n"
 UPPER = 2  # depths up to this one are mixed on the driver
 _TABLE = np.array([math.lgamma(i + 0.5) for i in range(4096)])
@@ -118,11 +119,10 @@ def build(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], np.
 
 
 def upper_rows(keys: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of depth UPPER: key, zeros, ones, sum of the children's log Pw."""
-    levels, _, _ = build(keys, n, depth)
-    top = levels[-1].parent()
-    up, inv = np.unique((levels[-1].keys >> 16) << 8 | (levels[-1].keys & 255), return_inverse=True)
-    return up, top.a, top.b, np.bincount(inv, levels[-1].log_pw, len(up))
+    """These grams' part of the nodes of depth UPPER: key, zeros, ones, sum of the children's log Pw."""
+    last = build(keys, n, depth)[0][-1]
+    up, inv = np.unique((last.keys >> 16) << 8 | (last.keys & 255), return_inverse=True)
+    return up, *(np.bincount(inv, v, len(up)) for v in (last.a, last.b, last.log_pw))
 
 
 def gram_scores(keys: np.ndarray, n: np.ndarray, depth: int, top: dict[str, np.ndarray]) -> np.ndarray:
@@ -271,28 +271,33 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     asked = texts.mapInArrow(count, ask)
     found = scratch.save(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "counts")
 
-    words = found.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    is_word = F.col("key") < 0
+    totals = found.agg(F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count(F.when(is_word & (F.col("n") > 0), 1)), F.count(F.when(~is_word, 1))).first()
     ends = texts.filter(~F.col("held_out")).count()
-    train_tokens, distinct = int(words[0]) + ends, int(words[1]) + (ends > 0)
+    train_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
 
-    grams = found.filter("key >= 0").select("key", "n", F.shiftright("key", 8 * (depth + 1 - UPPER)).alias("ctx"))
+    # A bundle holds whole subtrees of depth UPPER + 1; even one such subtree has at most 256 ** (depth - UPPER) grams.
+    subtree = F.xxhash64(F.shiftright("key", 8 * (depth - UPPER)))
+    bundles = max(16, -(-totals[2] // BUNDLE_GRAMS))
+    grams = found.filter("key >= 0").select("key", "n", F.pmod(subtree, F.lit(bundles)).alias("bundle"))
     up_ddl = "key long, a double, b double, below double"
 
     def summarise(table: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
         return pa.Table.from_batches([batch_of(schema_of(up_ddl), list(upper_rows(keys, n, depth)))])
 
-    got = grams.groupBy("ctx").applyInArrow(summarise, up_ddl).toArrow()
+    parts = grams.groupBy("bundle").applyInArrow(summarise, up_ddl)
+    got = parts.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("below").alias("below")).toArrow()
     order = np.argsort(got["key"].to_numpy())
     key, a, b, below = (got[c].to_numpy()[order] for c in ("key", "a", "b", "below"))
-    top = spark.sparkContext.broadcast(top_state(Level(key, a, b, below)))
+    top = spark.sparkContext.broadcast(top_state(Level(key, np.rint(a), np.rint(b), below)))
     value_ddl = "key long, v float"
 
     def value(table: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
         return pa.Table.from_batches([batch_of(schema_of(value_ddl), [keys, gram_scores(keys, n, depth, top.value).astype(np.float32)])])
 
-    valued = scratch.save(grams.groupBy("ctx").applyInArrow(value, value_ddl), "values")
+    valued = scratch.save(grams.groupBy("bundle").applyInArrow(value, value_ddl), "values")
     told = found.filter("key < 0").select(F.explode("chunks").alias("chunk"), "key", F.col("n").cast("float").alias("v")).unionByName(
         found.filter("key >= 0").join(valued, "key").select(F.explode("chunks").alias("chunk"), "key", "v")
     )
