@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, toxicity, warc
+from . import bpe, ctw, jaccard, mixing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_ctw_scoring": ctw.op1_ctw_scoring,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op9_quality_qda": quality.op9_quality_qda,
     "op10_toxicity_ftrl": toxicity.op10_toxicity_ftrl,
