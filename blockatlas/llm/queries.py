@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, jaccard, mixing, quality, toxicity, warc
+from . import bpe, ctw, ego, jaccard, mixing, quality, toxicity, vptree, warc
 
 QUERIES = {
     "op1_ctw_scoring": ctw.op1_ctw_scoring,
+    "op2_epsilon_grid_join": ego.op2_epsilon_grid_join,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op8_vptree_search": vptree.op8_vptree_search,
     "op9_quality_qda": quality.op9_quality_qda,
     "op10_toxicity_ftrl": toxicity.op10_toxicity_ftrl,
 }
