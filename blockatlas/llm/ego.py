@@ -83,7 +83,7 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
-        if a >= b or c >= d or same and c >= b or same and d <= a:
+        if a >= b or c >= d or same and d <= a:
             continue
         if far(px[a:b].min(0), px[a:b].max(0), py[c:d].min(0), py[c:d].max(0), eps):
             continue
