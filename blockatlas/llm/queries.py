@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, ctw, ego, jaccard, mixing, quality, toxicity, vptree, warc
+from . import bpe, ctw, ego, html_text, jaccard, mixing, quality, toxicity, vptree, warc
 
 QUERIES = {
     "op1_ctw_scoring": ctw.op1_ctw_scoring,
     "op2_epsilon_grid_join": ego.op2_epsilon_grid_join,
+    "op3_html_lstm": html_text.op3_html_lstm,
     "op4_warc_salvage": warc.op4_warc_salvage,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
