@@ -37,6 +37,7 @@ from .store import Scratch
 RECORDS_PER_FILE = 4000
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
+GZIP_MARK = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = EMPTY_MEMBER.compress(b"") + EMPTY_MEMBER.flush()
 
@@ -137,11 +138,11 @@ def _records_of(data: bytes) -> Iterator[dict]:
 def salvage(content: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in byte order, with offset, length and status."""
     at, bad, why = 0, None, ""  # bad: where the bytes began that no record could be read from
-    mark = b"\x1f\x8b\x08" if b"\x1f\x8b\x08" in content[:65536] or not content.startswith(b"WARC/") else VERSION[:7]
     size = len(content)
+    ahead = {mark: -1 for mark in (GZIP_MARK, VERSION[:7])}
     while at < size:
         try:
-            if mark[0] == 0x1F:
+            if content.startswith(GZIP_MARK, at):
                 # A window grows as needed, so a member costs its own length and not the archive's.
                 data, end = _windowed_member(content, at)
                 found = list(_records_of(data))
@@ -151,9 +152,10 @@ def salvage(content: bytes) -> Iterator[dict]:
         except Broken as e:
             if bad is None:
                 bad, why = at, e.args[0]
-            at = content.find(mark, at + 1)
-            if at < 0:
-                at = size
+            for mark, seen in ahead.items():  # each mark is searched for once over the whole archive
+                if seen <= at:
+                    ahead[mark] = size if (k := content.find(mark, at + 1)) < 0 else k
+            at = min(ahead.values())
             continue
         if bad is not None:
             yield {"offset": bad, "length": at - bad, "status": "gap", "reason": why}
