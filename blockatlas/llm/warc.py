@@ -37,6 +37,7 @@ from .store import Scratch
 RECORDS_PER_FILE = 4000
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 GZIP_MARK = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = EMPTY_MEMBER.compress(b"") + EMPTY_MEMBER.flush()
@@ -82,7 +83,7 @@ class Broken(ValueError):
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record at ``at`` and the offset behind it. Raises Broken."""
-    if not data.startswith(b"WARC/1.", at):
+    if not VERSION_LINE.match(data, at):
         raise Broken("no version line")
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
