@@ -32,6 +32,7 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 LEAF = 48
 FACTOR = 0.3
+SPLIT_LEVELS = 3
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -98,6 +99,7 @@ class VpTree:
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """For each query the ids and distances of its k nearest found (unfilled places: distance inf)."""
+        q2, x2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", self.x, self.x)
         best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
 
         def offer(who: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
@@ -111,7 +113,7 @@ class VpTree:
             order = np.lexsort((all_i, all_d), axis=-1)[:, :k]
             best_d[who], best_i[who] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
 
-        def visit(node: int, who: np.ndarray) -> None:
+        def visit(node: int, who: np.ndarray, depth: int) -> None:
             if node < 0 or not len(who):
                 return
             lo, hi = self.span[node]
@@ -119,21 +121,38 @@ class VpTree:
             if v < 0:
                 rows = self.order[lo:hi]
                 if len(rows):
-                    offer(who, rows, distances(q[who], self.x[rows]))
+                    # Screened by the product form, whose error the margin covers; what may count is computed from differences.
+                    x = self.x[rows]
+                    rough = q2[who][:, None] + x2[rows] - 2 * (q[who] @ x.T)
+                    limit = best_d[who, -1] ** 2
+                    i, j = np.nonzero(rough <= (limit + 1e-9 * (1 + q2[who]))[:, None] + 1e-9 * x2[rows])
+                    if len(i):
+                        d = np.full(rough.shape, np.inf)
+                        diff = q[who[i]] - x[j]
+                        d[i, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                        offer(who, rows, d)
                 return
             d = distances(q[who], self.x[v][None])[:, 0]
             offer(who, np.array([v]), d[:, None])
             n0, n1, f0, f1 = self.range[node]
             bound = (np.maximum(d - n1, n0 - d), np.maximum(f0 - d, d - f1))
             near_first = np.where(bound[0] == bound[1], np.abs(d - n1) <= np.abs(d - f0), bound[0] < bound[1])
-            for first in (True, False):
-                for side in (0, 1):
-                    # The first pass takes each query to its nearer side, the second to the other.
-                    mine = near_first == ((side == 0) == first)
-                    left = bound[side] <= factor * best_d[who, -1] + 1e-9 * (1 + np.abs(d))
-                    visit(int(self.child[node][side]), who[mine & left])
-
-        visit(0, np.arange(len(q)))
+
+            def go(side: int, some: np.ndarray | slice) -> None:
+                left = bound[side][some] <= factor * best_d[who[some], -1] + 1e-9 * (1 + np.abs(d[some]))
+                visit(int(self.child[node][side]), who[some][left], depth + 1)
+
+            if depth < SPLIT_LEVELS and 0 < near_first.sum() < len(who):
+                # Near the root each query goes to its own nearer side first.
+                for side, some in ((0, near_first), (1, ~near_first), (1, near_first), (0, ~near_first)):
+                    go(side, some)
+            else:
+                # Below, all take the side that is nearer for most: every node is then visited a few times only.
+                first = 0 if 2 * near_first.sum() >= len(who) else 1
+                go(first, slice(None))
+                go(1 - first, slice(None))
+
+        visit(0, np.arange(len(q)), 0)
         return best_i, best_d
 
 
