@@ -112,7 +112,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         tag = name[1].lower()
         if token[1] == "/":
             k = find((tag,))
-            if tag not in _INLINE:
+            if tag not in _INLINE and tag not in _HIDDEN:
                 flush()
                 if tag == "p" and k < 0:
                     continue
@@ -122,7 +122,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         if tag == "br":
             add("\n")
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE and tag not in _HIDDEN:
             flush()
         if tag in _CLOSES_P and (k := find(("p",), ("td", "th", "li", "div", "section", "article", "body", "button"))) >= 0:
             pop_to(k)
@@ -416,7 +416,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     if model is None:
         fit_on = rows.filter(F.length("html") <= SAMPLE_CHARS).select(hash60(F.col("page_id")).alias("h"), F.col("html"))
-        model = train([r["html"] for r in fit_on.orderBy("h", "html").limit(SAMPLE_PAGES).collect()])
+        # The limit is found on hashes alone, so that tasks do not each send that many pages.
+        last = fit_on.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+        chosen = fit_on.filter(F.col("h") <= (-1 if last is None else last))
+        model = train([r["html"] for r in chosen.orderBy("h", "html").limit(SAMPLE_PAGES).collect()])
     shipped = pages.sparkSession.sparkContext.broadcast(model)
     ddl = "page_id long, url string, text string, n_chars long, n_blocks long"
     schema = schema_of(ddl)
