@@ -25,6 +25,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     edges = links.filter(F.col("u") != F.col("v")).select(*down(F.col("u"), F.col("v"))).distinct()
     edges = scratch.save(edges, f"{name}-0")
     state = _state(edges)
+    if not state[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for k in range(1, most_rounds + 1):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
