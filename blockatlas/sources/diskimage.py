@@ -23,6 +23,7 @@ from . import partclone
 from .bzip2_index import build_index
 from .codecs import ChunkReader, Volumes
 from .containers import Partition, discover
+from .ext import ExtVolume
 from .fat import FatVolume
 
 SPAN = 32 << 20
@@ -42,6 +43,16 @@ SCHEMAS = {
 }
 
 
+def open_volume(f):
+    """The filesystem of a seekable stream; None where it is not known."""
+    for kind in (ExtVolume, FatVolume):
+        try:
+            return kind(f)
+        except ValueError:
+            continue
+    return None
+
+
 class Piece(InputPartition):
     def __init__(self, partition: Partition, start: int = 0, stop: int | None = None):
         super().__init__(None)
@@ -195,9 +206,8 @@ class ImageReader(DataSourceReader):
             f = io.BytesIO(data)
         else:
             f = io.BufferedReader(_Device(size, read))
-        try:
-            volume = FatVolume(f)
-        except ValueError:
+        volume = open_volume(f)
+        if volume is None:
             return  # no filesystem that is known: no rows
         for k, (path, folder, n, modified, created, accessed, _) in enumerate(volume.walk()):
             yield *own, k, path, path.replace("/", "\\"), folder, n, modified, created, accessed, None

@@ -3,7 +3,9 @@ import gzip
 import io
 import lzma
 import os
+import shutil
 import struct
+import subprocess
 import zlib
 
 import pyarrow as pa
@@ -196,3 +198,49 @@ def test_cli(tmp_path, spark, capsys):
     assert cli.main(["list", "--input", str(drive), "-p", "nope"]) == 1
     assert cli.main(["extract", "--input", str(drive), "--output", str(tmp_path / "x")]) == 0
     assert (tmp_path / "x" / "partition0.img").read_bytes() == fat12()
+
+
+def test_xz_blocks():
+    from blockatlas.sources import xz_index
+
+    parts = [bytes([k]) * (3000 + k) for k in range(5)]
+    data = b"".join(lzma.compress(p) for p in parts[:3]) + bytes(8) + lzma.compress(parts[3] + parts[4])
+    index = xz_index.build_index(data)
+    whole = b"".join(parts)
+    assert len(index) == 4 and index[-1]["u_end"] == len(whole)
+    for at, n in ((0, 10), (2999, 5), (5000, 9000), (len(whole) - 3, 10)):
+        assert xz_index.read_range(data, index, at, n) == whole[at : at + n]
+    with pytest.raises(ValueError):
+        xz_index.build_index(b"x" * 64)
+
+
+@pytest.mark.skipif(shutil.which("mkfs.ext4") is None, reason="mkfs.ext4 is not here")
+@pytest.mark.parametrize("kind,options", [("ext4", []), ("ext4", ["-b", "1024", "-I", "128"]), ("ext2", ["-b", "1024"]), ("ext3", [])])
+def test_ext_listing(spark, tmp_path, kind, options):
+    from blockatlas.sources.ext import ExtVolume
+
+    src = tmp_path / "src"
+    (src / "a" / "deep").mkdir(parents=True)
+    big = bytes(range(256)) * 2500
+    (src / "a" / "big.bin").write_bytes(big)
+    (src / "a" / "deep" / "Ünï.txt").write_text("hello")
+    (src / "empty").write_bytes(b"")
+    for k in range(150):
+        (src / "a" / f"file{k:04d}").write_text(str(k))
+    with open(src / "sparse", "wb") as f:
+        f.seek(300_000)
+        f.write(b"end")
+    image = tmp_path / "ext.img"
+    subprocess.run(["mkfs.ext4", "-q", "-F", "-t", kind, *options, "-d", str(src), str(image), "6M"], check=True, capture_output=True)
+    with open(image, "rb") as f:
+        v = ExtVolume(f)
+        rows = {r[0]: r for r in v.walk()}
+        want = {str(p.relative_to(src)) for p in src.rglob("*")} | {"lost+found"}
+        assert set(rows) == want
+        assert rows["a"][1] and not rows["empty"][1] and rows["a/big.bin"][2] == len(big)
+        get = lambda p, *r: v.read(v.inode(rows[p][6]), *r)
+        assert get("a/big.bin") == big and get("a/big.bin", 1000, 50) == big[1000:1050] and get("a/deep/Ünï.txt") == b"hello"
+        assert get("sparse") == bytes(300_000) + b"end" and get("empty") == b""
+        assert abs(rows["a/big.bin"][3].timestamp() - (src / "a" / "big.bin").stat().st_mtime) < 86_400
+    files = diskimage.load(spark, [str(image)], "files")
+    assert {r.path for r in files.collect()} == want
