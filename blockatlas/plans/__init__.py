@@ -1,0 +1 @@
+"""Nothing here: plans are left to Catalyst; see operators/."""
