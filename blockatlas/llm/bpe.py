@@ -26,7 +26,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-CACHE_PIECES = 400_000
+from .arrow import pieces
+
+CACHE_PIECES = 500_000
+LONG_PIECE = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,8 +66,11 @@ class Vocabulary:
             self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         self._right: dict[bytes, list[tuple[int, bytes]]] = {}
         self._left: dict[bytes, list[tuple[int, bytes]]] = {}
-        self._fits: dict[tuple[bytes, bytes], bool] = {}
+        #: pair of ids -> whether the second may follow the first; emptied when full.
+        self.follows: dict[int, bool] = {}
         self._made: dict[bytes, bool] = {}
+        #: The tokens that merging makes: only those are ever the last of a prefix.
+        self.usable = {t: r for t, r in ranks.items() if self.made(t)}
 
     def made(self, token: bytes) -> bool:
         """Whether merging the token's bytes gives that token."""
@@ -85,13 +91,14 @@ class Vocabulary:
             known[token] = found
         return found
 
-    def fits(self, a: bytes, b: bytes) -> bool:
-        """Whether merging the bytes of ``a + b`` gives [a, b]; both are tokens that merging makes."""
-        found = self._fits.get((a, b))
+    def fits(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of tokens ``a`` and ``b``, both made by merging, gives [a, b]."""
+        pair = a << 32 | b
+        found = self.follows.get(pair)
         if found is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            found = self._fits[a, b] = self._seam(self._edge(a, 1), self._edge(b, 0))
+            if len(self.follows) > 600_000:
+                self.follows.clear()
+            found = self.follows[pair] = self._seam(self._edge(self.bytes_of[a], 1), self._edge(self.bytes_of[b], 0))
         return found
 
     def _seam(self, left: list[tuple[int, bytes]], right: list[tuple[int, bytes]]) -> bool:
@@ -113,26 +120,36 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """The bytes of one piece and the last token of each of their prefixes."""
+    """The bytes of one piece and the id of the last token of each of their prefixes (-1 for the empty one)."""
 
     def __init__(self, vocab: Vocabulary, piece: bytes = b""):
-        self.vocab, self.data, self.last = vocab, b"", [b""]
+        self.vocab, self.data, self.last = vocab, b"", [-1]
         self.append(piece)
 
     def append(self, more: bytes) -> None:
         start = len(self.data)
         self.data += more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last_token(end))
-
-    def _last_token(self, end: int) -> bytes:
-        data, vocab, last = self.data, self.vocab, self.last
-        ranks = vocab.ranks
-        for start in range(max(0, end - vocab.longest), end):
-            token = data[start:end]
-            if token in ranks and vocab.made(token) and (start == 0 or vocab.fits(last[start], token)):
-                return token
-        raise ValueError("a byte is missing from the vocabulary")
+        self._extend(start + 1, len(self.data) + 1)
+
+    def _extend(self, first: int, stop: int) -> None:
+        """Entries ``first`` to ``stop``: of the tokens that end there exactly one may follow what stands before it."""
+        data, last, vocab = self.data, self.last, self.vocab
+        token_at, follows, longest = vocab.usable.get, vocab.follows.get, vocab.longest
+        for end in range(first, stop):
+            for start in range(end - longest if end > longest else 0, end):
+                token = token_at(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    ok = follows(last[start] << 32 | token)
+                    if ok is None:
+                        ok = vocab.fits(last[start], token)
+                    if not ok:
+                        continue
+                last.append(token)
+                break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
 
     def cut(self, length: int) -> None:
         self.data = self.data[:length]
@@ -140,29 +157,32 @@ class PrefixTable:
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes ``start:stop``; returns how many entries had to be found anew."""
-        tail, old, was = self.data[stop:], self.last[stop + 1 :], self.last
+        tail, old = self.data[stop:], self.last[stop + 1 :]
         self.cut(start)
         self.append(new)
-        work, agree, shift = len(new), 0, len(self.data)
+        work, agree, shift, longest = len(new), 0, len(self.data), self.vocab.longest
         self.data += tail
         for k in range(len(tail)):
-            token = self._last_token(shift + k + 1)
-            self.last.append(token)
+            self._extend(shift + k + 1, shift + k + 2)
+            token = self.last[-1]
             work += 1
-            agree = agree + 1 if token == old[k] and len(token) <= k + 1 else 0
-            if agree >= self.vocab.longest:  # each later entry reads only entries that agree
+            agree = agree + 1 if token == old[k] and len(self.vocab.bytes_of[token]) <= k + 1 else 0
+            if agree >= longest:  # each later entry reads only entries that agree
                 self.last.extend(old[k + 1 :])
                 break
-        assert len(self.last) == len(self.data) + 1 and was is not None
         return work
 
-    def tokens(self) -> list[bytes]:
-        out, at = [], len(self.data)
+    def ids(self) -> list[int]:
+        out, at, bytes_of = [], len(self.data), self.vocab.bytes_of
         while at:
-            out.append(self.last[at])
-            at -= len(self.last[at])
+            token = self.last[at]
+            out.append(token)
+            at -= len(bytes_of[token])
         return out[::-1]
 
+    def tokens(self) -> list[bytes]:
+        return [self.vocab.bytes_of[t] for t in self.ids()]
+
 
 class Encoder:
     """Texts to ids and back; each match of the pattern is encoded on its own."""
@@ -170,28 +190,48 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int] | Vocabulary, pattern: str):
         self.vocab = ranks if isinstance(ranks, Vocabulary) else Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
-        #: piece -> (number of ids, ids joined by commas); emptied when full.
-        self._known: dict[str, tuple[int, str]] = {}
+        #: piece -> ids joined by commas; emptied when full.
+        self._known: dict[str, str] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks = self.vocab.ranks
         if piece in ranks:
             return [ranks[piece]]
-        return [ranks[t] for t in PrefixTable(self.vocab, piece).tokens()]
+        return PrefixTable(self.vocab, piece).ids()
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode new pieces in byte order, so that each takes over the entries of the prefix it shares with the one before."""
+        known, ranks = self._known, self.vocab.ranks
+        if len(known) >= CACHE_PIECES:
+            known.clear()
+        table = PrefixTable(self.vocab)
+        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
+            rank = ranks.get(data)
+            if rank is not None:
+                known[piece] = str(rank)
+                continue
+            same, before, most = 0, table.data, min(len(table.data), len(data))
+            while same < most and before[same] == data[same]:
+                same += 1
+            table.cut(same)
+            table.append(data[same:])
+            known[piece] = ",".join(map(str, table.ids()))
+
+    def joined_batch(self, texts: list[str]) -> list[str]:
+        """Decimal ids of each text, joined by commas; long pieces are encoded where they stand."""
+        lists = [self.pieces(t) for t in texts]
+        self.learn({p for found in lists for p in found if len(p) <= LONG_PIECE}.difference(self._known))
+        known = self._known
+        out = []
+        for found in lists:
+            try:
+                out.append(",".join(map(known.__getitem__, found)))
+            except KeyError:  # a long piece, or one that emptying the cache took away
+                out.append(",".join(known.get(p) or ",".join(map(str, self.encode_piece(p.encode("utf-8", "surrogatepass")))) for p in found))
+        return out
 
     def joined(self, text: str) -> str:
-        """Decimal ids joined by commas."""
-        known, out = self._known, []
-        for piece in self.pieces(text):
-            got = known.get(piece)
-            if got is None:
-                got = ",".join(map(str, self.encode_piece(piece.encode("utf-8", "surrogatepass"))))
-                if len(piece) <= 64:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = got
-            out.append(got)
-        return ",".join(out)
+        return self.joined_batch([text])[0]
 
     def encode(self, text: str) -> list[int]:
         joined = self.joined(text)
@@ -252,10 +292,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary, pattern)
-        for batch in batches:
+        for batch in pieces(batches, 1, 4 << 20):
             rows, size = [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                joined = encoder.joined(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, joined in zip(batch.column(0).to_pylist(), encoder.joined_batch(texts), strict=True):
                 ids = list(map(int, joined.split(","))) if joined else []
                 decoded = encoder.decode(ids)
                 row = [doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
