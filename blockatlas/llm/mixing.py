@@ -56,19 +56,10 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], share: float, cap: fl
     return found.select("source", "source_size", target.alias("target"))
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: Sequence[float] = (3, 1, 2),
-    share: float = 1.5,
-    cap: int = 2,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+def thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, h) of every row, and of every source: source_size, target, whole, limit.
 
-    ``copies`` says how often the mix repeats the document (0 to ``cap``); ``taken`` is
-    ``size * copies``. The last hash of a source is taken or left by what comes nearer its target.
+    The mix has a document ``whole`` times, and once more if its hash is below ``limit``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -106,13 +97,53 @@ def mix(
     plan = targets.alias("t").join(limit.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select(
         F.col("t.source").alias("source"), "source_size", "target", "whole", F.when(F.col("whole") >= cap, F.lit(0)).otherwise(F.coalesce("limit", F.lit(1 << (LEVEL_BITS * LEVELS)))).cast("long").alias("limit")
     )
-    plan = scratch.save(plan, "plan")
+    return slim, scratch.save(plan, "plan")
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+
+    ``copies`` says how often the mix repeats the document (0 to ``cap``); ``taken`` is
+    ``size * copies``. The last hash of a source is taken or left by what comes nearer its target.
+    """
+    slim, plan = thresholds(docs, id_col, text_col, source_col, weights, share, cap)
     copies = F.col("p.whole") + (F.col("s.h") < F.col("p.limit")).cast("long")
     return slim.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
         F.col("s.doc_id").alias("doc_id"), F.col("s.source").alias("source"), F.col("s.size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("s.size") * copies).alias("taken")
     )
 
 
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    cap: int = 2,
+) -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, repeated or left out.
+
+    Whether a row is in the mix follows from its source's numbers and its own hash, so rows meet
+    only the small table of sources.
+    """
+    _, plan = thresholds(docs, id_col, text_col, source_col, weights, share, cap)
+    own = plan.select(F.struct("source", "whole", "limit").alias("_" * (1 + max(map(len, docs.columns)))))
+    p = own.columns[0]  # a name that no column of docs has
+    wide = docs.join(own, F.col(source_col).eqNullSafe(own[p]["source"]))
+    copies = own[p]["whole"] + (hash60(F.col(id_col)) < own[p]["limit"]).cast("long")
+    spread = wide.withColumn(p, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
+    return spread.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: The same rows by sorting: windows over (source, hash) instead of histograms.
 ORACLE = r"""
 WITH d AS (

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import batch_of, id_crc, pieces, schema_of
+from .arrow import batch_of, id_crc, keep_rows, pieces, schema_of
 from .store import Scratch
 
 LOWER, UPPER, DIGIT, SPACE, PUNCT, HIGH = range(6)
@@ -200,17 +200,21 @@ def fit(rows: DataFrame, pooled_share: float = 0.05, identity_share: float = 0.0
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, train: Column | None, id_col: str, text_col: str, label_col: str) -> tuple[Discriminant, DataFrame]:
+    """The model of all labelled rows, and the vectors of all rows (written once)."""
+    x = Scratch(docs.sparkSession, "quality").save(features(docs, id_col, text_col), "features")
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
+    if train is not None:
+        known = known.filter(train)
+    return fit(x.join(known, "doc_id").select("x", "label")), x
+
+
 def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every row of ``docs``.
 
     ``train``: a condition on ``doc_id`` for the labels to learn from (all without it).
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    x = scratch.save(features(docs, id_col, text_col), "features")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
-    if train is not None:
-        known = known.filter(train)
-    model = fit(x.join(known, "doc_id").select("x", "label"))
+    model, x = learn(docs, labels, train, id_col, text_col, label_col)
     ddl = "doc_id long, score double, predicted int"
     schema = schema_of(ddl)
 
@@ -222,6 +226,16 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_co
     return x.mapInArrow(run, ddl)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with all their columns; no row is shuffled for it."""
+    model, _ = learn(docs, labels, train, id_col, text_col, label_col)
+
+    def keep(texts: list) -> np.ndarray:
+        return model.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))) >= threshold
+
+    return keep_rows(docs, text_col, keep)
+
+
 def op9_quality_qda(spark, sf_dir: str) -> DataFrame:
     from .tables import table
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import batch_of, id_crc, pieces, schema_of
+from .arrow import batch_of, id_crc, keep_rows, pieces, schema_of
 from .mixing import hash60
 from .quality import fit_scale
 from .store import Scratch
@@ -44,7 +44,7 @@ def _word_hashes(words: list[str]) -> list[int]:
         h = known.get(w)
         if h is None:
             h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            if len(known) < 1_000_000:
+            if len(known) < 400_000:
                 known[w] = h
         out.append(h)
     return out
@@ -141,38 +141,59 @@ def fit(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray,
     return slot[keep][order], w[keep][order], float(bias)
 
 
-def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, score and predicted of every row of ``docs``.
+class Scorer:
+    """Scores of texts by a model's few weights; unpacked once in each process."""
 
-    ``train``: a condition on ``doc_id`` for the labels to learn from (all without it).
-    """
-    scratch = Scratch(docs.sparkSession, "toxicity")
+    def __init__(self, slot: np.ndarray, weight: np.ndarray, bias: float):
+        self.slot, self.weight, self.bias, self._table = slot, weight, bias, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        if self._table is None:
+            self._table = np.zeros(1 << BITS, np.float32)
+            self._table[self.slot] = self.weight
+        row, slots = slots_of(texts)
+        hit = self._table[slots] != 0
+        key = np.unique(row[hit].astype(np.int64) << 32 | slots[hit])
+        total = np.bincount(key >> 32, self._table[key & 0xFFFFFFFF], len(texts)) + self.bias
+        return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, train: Column | None, id_col: str, text_col: str, label_col: str, train_rows: int) -> Scorer:
+    """The model of a sample of the labelled rows."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label")).filter(F.col("label").isin(0, 1))
     if train is not None:
         known = known.filter(train)
     known = known.withColumn("h", hash60(F.col("doc_id")))
     total = known.count()
-    sample = scratch.save(known.filter(F.col("h") < int((1 << 60) * min(1.0, train_rows / max(1, total)))), "sample")
-    slot, weight, bias = fit(texts.join(F.broadcast(sample), "doc_id").select("h", "text", "label"))
-    table = np.zeros(1 << BITS, np.float32)
+    sample = Scratch(docs.sparkSession, "toxicity").save(known.filter(F.col("h") < int((1 << 60) * min(1.0, train_rows / max(1, total)))), "sample")
+    return Scorer(*fit(texts.join(F.broadcast(sample), "doc_id").select("h", "text", "label")))
+
+
+def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, score and predicted of every row of ``docs``.
+
+    ``train``: a condition on ``doc_id`` for the labels to learn from (all without it).
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, train, id_col, text_col, label_col, train_rows))
     ddl = "doc_id long, score double, predicted int"
     schema = schema_of(ddl)
-    shipped = docs.sparkSession.sparkContext.broadcast((slot, weight))
 
     def run(batches):
-        at, w = shipped.value
-        table[at] = w
-        used = table != 0
         for batch in pieces(batches, 1):
-            row, slots = slots_of(batch.column(1).to_pylist())
-            hit = used[slots]
-            key = np.unique(row[hit].astype(np.int64) << 32 | slots[hit])
-            total = np.bincount(key >> 32, table[key & 0xFFFFFFFF], batch.num_rows) + bias
-            p = 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+            p = shipped.value(batch.column(1).to_pylist())
             yield batch_of(schema, [batch.column(0), p, (p >= threshold).astype(np.int32)])
 
-    return texts.mapInArrow(run, ddl)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` whose score stays below the threshold, with all their columns; no row is shuffled for it."""
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, train, id_col, text_col, label_col, train_rows))
+    return keep_rows(docs, text_col, lambda texts: shipped.value(texts) < threshold)
 
 
 def op10_toxicity_ftrl(spark, sf_dir: str) -> DataFrame:

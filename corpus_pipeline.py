@@ -2,15 +2,15 @@
 
 Each stage takes what the stage before kept. All but the last return the columns of their input
 unchanged (other columns, whatever their names, are carried along); the last returns one row a
-document with the digests of its ids. Decisions are joined to documents by id.
+document with the digests of its ids. Classifiers and mixing decide on each row where it is; only the
+near-duplicate stage joins documents with decisions by id.
 
 Defined results
 * quality and toxicity drop documents that the classifiers reject and keep the rest, null and
   empty texts included if their score allows;
-* of near duplicates the document with the smallest id stays; of rows that repeat that id one
-  stays; a document without five-word shingles or copies stays;
+* of near duplicates the document with the smallest id stays; of rows that repeat that id and
+  its text one stays; an id that repeats with different texts stays if any of them does; a document without five-word shingles or copies stays;
 * mixing repeats documents up to twice (as further rows) and leaves out what targets do not need;
-* an id that repeats with different texts is dropped only if every one of its rows is rejected;
 * encoding returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 """
 
@@ -25,57 +25,32 @@ from blockatlas.llm.store import Scratch
 from blockatlas.llm.tables import table
 
 
-def _free_name(docs: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name = "_" + name
-    return name
-
-
-def _keep(docs: DataFrame, decided: DataFrame, keep: str) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id) decision holds; decisions: doc_id and the condition.
-
-    Decisions depend on the text alone. Ids that only ever have one decision are joined by id; an
-    id with both (repeated with different texts) cannot be decided by id and is kept.
-    """
-    gone = decided.groupBy("doc_id").agg(F.max(F.expr(keep)).alias("any_kept")).filter(~F.col("any_kept"))
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-
-
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = id_crc(F.col("doc_id")) % 4 == 2
-    scored = quality.score(docs, table(spark, sf_dir, "labels"), train=~held_out)
-    decided = Scratch(spark, "pipeline").save(scored.select("doc_id", "predicted"), "quality")
-    return _keep(docs, decided, "predicted = 1")
+    return quality.accepted(docs, table(spark, sf_dir, "labels"), train=~held_out)
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = id_crc(F.col("doc_id")) % 5 == 0
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"), train=~held_out)
-    decided = Scratch(spark, "pipeline").save(scored.select("doc_id", "predicted"), "toxicity")
-    return _keep(docs, decided, "predicted = 0")
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"), train=~held_out)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_join(docs)
-    decided = Scratch(spark, "pipeline").save(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "duplicates")
-    once = _keep(docs, decided.select("doc_id", "kept"), "kept")
-    repeated = decided.filter("n > 1").select(F.col("doc_id").alias("_again"))
-    # Rows that repeat an id: one of them stays. Few ids repeat, so few rows are shuffled here.
-    again = once.join(repeated, once["doc_id"].eqNullSafe(repeated["_again"]), "left_semi").dropDuplicates(["doc_id"])
-    single = once.join(repeated, once["doc_id"].eqNullSafe(repeated["_again"]), "left_anti")
+    """One merge join by id at every size: what is dropped grows with the corpus, so it is never broadcast."""
+    decided = jaccard.jaccard_join(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    decided = Scratch(spark, "pipeline").save(decided.filter("n > 1 OR NOT kept"), "duplicates")
+    own = decided.select(F.struct("doc_id", "kept", "n").alias("_" * (1 + max(map(len, docs.columns)))))
+    p = own.columns[0]  # a name that no column of docs has
+    found = docs.join(own.hint("merge"), docs["doc_id"].eqNullSafe(own[p]["doc_id"]), "left").filter(own[p].isNull() | own[p]["kept"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.filter(own[p].isNull()).select(*columns)
+    # Of rows that repeat an id and its text one stays.
+    again = found.filter(own[p].isNotNull()).select(*columns).dropDuplicates(["doc_id", "text"])
     return single.unionByName(again)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    taken = Scratch(spark, "pipeline").save(mixed.groupBy("doc_id").agg(F.max("copies").alias("copies")), "mix")
-    copies, own = _free_name(docs, "copies"), _free_name(docs, "mix_id")
-    taken = taken.filter("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(copies))
-    wide = docs.join(taken, docs["doc_id"].eqNullSafe(taken[own]))
-    one = _free_name(docs, "copy")
-    return wide.withColumn(one, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[wide[c] for c in docs.columns])
+    return mixing.mixed(docs)
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

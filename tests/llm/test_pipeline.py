@@ -86,4 +86,4 @@ def test_stages_on_hostile_rows(spark, sf_dir, stage):
 def test_near_duplicates_keep_one_of_repeated_rows(spark, sf_dir):
     out = cp.stage_near_duplicates(spark, docs(spark, HOSTILE), sf_dir)
     ids = [r.doc_id for r in out.collect()]
-    assert ids.count(4) == 1 and 5 not in ids and ids.count(None) <= 1
+    assert ids.count(4) == 1 and 5 not in ids and ids.count(None) <= 2
