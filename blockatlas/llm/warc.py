@@ -10,14 +10,23 @@ each row; the separator is a NUL, and each member gives up its own last byte, wh
 Reader. Each archive is scanned member by member (or record by record where it is not compressed).
 After a failed check (broken deflate data, CRC, lengths, digests, header syntax) the reader
 searches on for the next member that unpacks to a record, or the next version line, recovers what
-follows and reports the bytes between as a quarantined gap with its reason.
+follows and reports the bytes between as a quarantined gap with its reason. The same search for
+version lines goes over the unpacked bytes of a member, which may hold many records; a member that
+is cut off or breaks is unpacked as far as it goes, and its records up to there are kept.
 
 Defined results
 * null html is an empty payload; null url leaves out the target header; null page_id leaves out
   the page header, and such a row revisits the largest known page_id of its payload, if any;
 * rows that repeat the largest page_id of a payload are all responses;
 * payloads under ``min_revisit_bytes`` are always responses; an empty table writes no archive and
-  reads back as an empty table with the same columns.
+  reads back as an empty table with the same columns;
+* records and gaps inside a member have the offset and length of the member (of its part up to the
+  last record, if it breaks off; what follows is a gap of its own) and their place in its unpacked
+  bytes in ``unpacked_offset`` and ``unpacked_length``, which are null elsewhere;
+* what runs up to the end of a member that is cut off is part of the gap, even a record of which
+  all bytes are there (it can only be the last one);
+* a record without a digest from a member with broken gzip data is given with a ``reason``, since
+  nothing tells whether the broken bytes are its own.
 """
 
 from __future__ import annotations
@@ -39,12 +48,14 @@ DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 GZIP_MARK = b"\x1f\x8b\x08"
+PIECE = 1 << 16
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31)
 EMPTY_MEMBER = EMPTY_MEMBER.compress(b"") + EMPTY_MEMBER.flush()
 
 RECORD_SCHEMA = (
     "archive string, offset long, length long, status string, reason string, record_type string, record_id string, "
-    "url string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
+    "url string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary, "
+    "unpacked_offset long, unpacked_length long"
 )
 
 
@@ -107,33 +118,110 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     if (want := fields.get("warc-block-digest")) and want != "sha1:" + base32_sha1(block):
         raise Broken("block digest")
     kind, payload = fields.get("warc-type"), None
+    digested = want is not None or kind == "response" and "warc-payload-digest" in fields
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
     if kind == "response":
         payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
         if digest not in (None, got := base32_sha1(payload)):
             raise Broken("payload digest")
         digest, declared = got, len(payload)
-    out = {"record_type": kind, "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "page_id": page_id, "refers_to": refers_to, "payload_bytes": None if declared < 0 else declared, "payload_digest": digest, "payload": payload}
+    out = {"record_type": kind, "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "page_id": page_id, "refers_to": refers_to, "payload_bytes": None if declared < 0 else declared, "payload_digest": digest, "payload": payload, "digested": digested}
     return out, start + length + 4
 
 
-def _member(content: bytes, at: int) -> tuple[bytes, int]:
-    """Unpack the gzip member at ``at``: its data and the offset behind it. Raises Broken."""
-    z = zlib.decompressobj(31)
+def _unpack(content: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The gzip member at ``at`` as far as it unpacks, the offset behind what was read, and why it broke off, if it did."""
+    z, view, out = zlib.decompressobj(31), memoryview(content), []
+    while at < len(content) and not z.eof:
+        before, part = z.copy(), view[at : at + PIECE]
+        try:
+            out.append(z.decompress(part))
+        except zlib.error:
+            out.append(_until_error(before, bytes(part)))
+            return b"".join(out), at, "gzip data"
+        at += len(part)
+    return b"".join(out), at - len(z.unused_data), None if z.eof else "gzip member not ended"
+
+
+def _until_error(z, part: bytes) -> bytes:
+    """What ``z`` gives for ``part`` before the error; a call that fails loses its output, so the calls become smaller."""
+    out, width = [], 1024
+    while part and width:
+        before = z.copy()
+        try:
+            out.append(z.decompress(part[:width]))
+            part = part[width:]
+        except zlib.error:
+            z, width = before, width // 32
     try:
-        data = z.decompress(memoryview(content)[at:])
-    except zlib.error as e:
-        raise Broken("gzip data") from e
-    if not z.eof:
-        raise Broken("gzip member not ended")
-    return data, len(content) - len(z.unused_data)
+        part = part[:1]
+        while more := z.decompress(part, 1):
+            out.append(more)
+            part = z.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _packed_length(content: bytes, at: int, size: int) -> int:
+    """How many bytes of the member at ``at`` give its first ``size`` unpacked bytes."""
+    z, view, start, width = zlib.decompressobj(31), memoryview(content), at, PIECE
+    while size > 0:
+        before, part = z.copy(), view[at : at + width]
+        try:
+            size -= len(z.decompress(part, size))
+        except zlib.error:  # the error is behind what is asked for
+            if width == 1:
+                return at + 1 - start
+            z, width = before, 1
+            continue
+        at += len(part) - len(z.unconsumed_tail)
+    return at - start
 
 
-def _records_of(data: bytes) -> Iterator[dict]:
-    at = 0
+def _salvage_unpacked(data: bytes) -> Iterator[dict]:
+    """Records and gaps of a member's unpacked bytes, with their place in them."""
+    at, bad, why = 0, None, ""
     while at < len(data):
-        out, at = parse_record(data, at)
-        yield out
+        try:
+            one, end = parse_record(data, at)
+        except Broken as e:
+            if bad is None:
+                bad, why = at, e.args[0]
+            at = len(data) if (k := data.find(VERSION[:7], at + 1)) < 0 else k
+            continue
+        if bad is not None:
+            yield {"status": "gap", "reason": why, "unpacked_offset": bad, "unpacked_length": at - bad}
+            bad = None
+        yield one | {"status": "record", "reason": None, "unpacked_offset": at, "unpacked_length": end - at}
+        at = end
+    if bad is not None:
+        yield {"status": "gap", "reason": why, "unpacked_offset": bad, "unpacked_length": len(data) - bad}
+
+
+def _salvage_member(content: bytes, at: int) -> tuple[list[dict], int, str | None]:
+    """Rows of the gzip member at ``at``, the offset behind what they came from, and why it broke off there.
+
+    Raises Broken if it has no record. Of a member that breaks off, what is behind its last record
+    is left to the caller's search.
+    """
+    data, end, why = _unpack(content, at)
+    rows = list(_salvage_unpacked(data))
+    if why is None and len(rows) == 1 and rows[0]["status"] == "gap":
+        raise Broken(rows[0]["reason"])
+    if why == "gzip member not ended" and rows and rows[-1]["unpacked_offset"] + rows[-1]["unpacked_length"] == len(data):
+        rows.pop()  # it runs up to the break
+    while why and rows and rows[-1]["status"] == "gap":
+        rows.pop()
+    if why is not None:
+        if not rows:
+            raise Broken(why)
+        end = at + _packed_length(content, at, rows[-1]["unpacked_offset"] + rows[-1]["unpacked_length"])
+        if why == "gzip data":  # a record without a digest may hold the broken bytes
+            for row in rows:
+                if row["status"] == "record" and not row["digested"]:
+                    row["reason"] = "no digest in a broken gzip member"
+    return rows, end, why
 
 
 def salvage(content: bytes) -> Iterator[dict]:
@@ -142,14 +230,13 @@ def salvage(content: bytes) -> Iterator[dict]:
     size = len(content)
     ahead = {mark: -1 for mark in (GZIP_MARK, VERSION[:7])}
     while at < size:
+        broke = None
         try:
             if content.startswith(GZIP_MARK, at):
-                # A window grows as needed, so a member costs its own length and not the archive's.
-                data, end = _windowed_member(content, at)
-                found = list(_records_of(data))
+                found, end, broke = _salvage_member(content, at)
             else:
                 one, end = parse_record(content, at)
-                found = [one]
+                found = [one | {"status": "record", "reason": None}]
         except Broken as e:
             if bad is None:
                 bad, why = at, e.args[0]
@@ -162,25 +249,14 @@ def salvage(content: bytes) -> Iterator[dict]:
             yield {"offset": bad, "length": at - bad, "status": "gap", "reason": why}
             bad = None
         for one in found:
-            yield one | {"offset": at, "length": end - at, "status": "record", "reason": None}
+            yield one | {"offset": at, "length": end - at}
         at = end
+        if broke is not None and at < size:
+            bad, why = at, broke
     if bad is not None:
         yield {"offset": bad, "length": size - bad, "status": "gap", "reason": why}
 
 
-def _windowed_member(content: bytes, at: int) -> tuple[bytes, int]:
-    width = 1 << 17
-    while True:
-        part = content[at : at + width]
-        try:
-            data, end = _member(part, 0)
-            return data, at + end
-        except Broken as e:
-            if e.args[0] != "gzip member not ended" or at + width >= len(content):
-                raise
-            width *= 8
-
-
 def _serialise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, size = [], 0

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -69,3 +70,55 @@ def test_salvage_of_nothing_and_of_junk():
 
 def test_sql(spark, sf_dir):
     assert same(warc.op4_warc_salvage(spark, sf_dir), warc.ORACLE.format(pages="pages"), sf_dir)
+
+
+def many(n=6):
+    rng = random.Random(4)
+    return [warc.build_record(k, f"u{k}", rng.randbytes(90_000)) for k in range(n)]
+
+
+def test_salvage_inside_a_member():
+    parts = many()
+    at = [sum(map(len, parts[:k])) for k in range(7)]
+    data = bytearray(b"".join(parts))
+    data[at[2] + 50_000] ^= 0xFF  # a digest of record 2 fails
+    data[at[4]] ^= 0xFF  # record 4 has no version line
+    member = warc.gzip_member(bytes(data))
+    rows = list(warc.salvage(warc.gzip_member(parts[0]) + member + parts[1]))
+    assert [r.get("page_id", r["reason"]) for r in rows] == [0, 0, 1, "block digest", 3, "no version line", 5, 1]
+    gaps = [(g["unpacked_offset"], g["unpacked_length"]) for g in rows if g["status"] == "gap"]
+    assert gaps == [(at[2], len(parts[2])), (at[4], len(parts[4]))]
+    assert {r["length"] for r in rows[1:7]} == {len(member)} and rows[3]["offset"] == rows[7]["offset"] - len(member)
+
+
+def test_salvage_of_a_member_that_breaks_off():
+    parts = many()
+    member = warc.gzip_member(b"".join(parts))
+    cut = list(warc.salvage(member[: len(member) * 7 // 12]))
+    assert [r.get("page_id", r["reason"]) for r in cut] == [0, 1, 2, "gzip member not ended"]
+    assert cut[0]["length"] == cut[-1]["offset"] and cut[-1]["offset"] + cut[-1]["length"] == len(member) * 7 // 12
+    # broken in the middle, with whole members behind; stored blocks show version lines in the compressed bytes too
+    for level in (0, 6):
+        member = warc.gzip_member(b"".join(parts), level)
+        bad = bytearray(member)
+        bad[len(bad) * 7 // 12 :] = b"\xff" * (len(bad) - len(bad) * 7 // 12)
+        rows = list(warc.salvage(bytes(bad) + warc.gzip_member(parts[5]) + parts[4]))
+        assert [r["page_id"] for r in records(rows)] == [0, 1, 2, 5, 4]
+        # one wrong checksum spoils no record
+        rows = list(warc.salvage(member[:-8] + b"\x01" * 8 + warc.gzip_member(parts[5])))
+        assert [r["page_id"] for r in records(rows)] == [0, 1, 2, 3, 4, 5, 5]
+
+
+def test_record_without_digest_in_a_broken_member():
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    member = warc.gzip_member(record * 2)
+    assert [r["reason"] for r in records(warc.salvage(member))] == [None] * 2
+    assert [r["reason"] for r in records(warc.salvage(member[:-8] + b"\x01" * 8))] == ["no digest in a broken gzip member"] * 2
+
+
+def test_multi_record_archive_is_read(spark, tmp_path):
+    parts = many()
+    (tmp_path / "part-0.gz").write_bytes(warc.gzip_member(b"".join([*parts[:2], b"junk", *parts[2:]]))[:-200_000])
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert [(r.status, r.page_id) for r in got] == [("record", 0), ("record", 1), ("gap", None), ("record", 2), ("gap", None)]
+    assert [r.unpacked_length for r in got][2] == 4
