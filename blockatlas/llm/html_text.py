@@ -135,7 +135,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
         marks = [tag]
         if "=" in token:
             for attr, a, b, c in _ATTR.findall(token):
-                marks += [f"{attr.lower()}:{w.lower()}" for w in _PARTS.findall(a or b or c)[:8]]
+                marks += [f"{attr.lower()}:{w.lower()}" for w in _PARTS.findall(a or b or c)]
         stack.append((tag, " ".join(marks)))
         hidden += tag in _HIDDEN
         links += tag == "a"
@@ -319,6 +319,8 @@ FURNITURE = {
     "comments": (["div", "section", "ol", "ul"], ["comments", "comment", "comment list", "commentlist", "replies", "discussion", "responses", "disqus thread", "reviews", "user comments"]),
     "share": (["div", "ul"], ["share", "social", "sharing", "follow", "byline tools", "actions"]),
 }
+#: Grid, utility and CMS classes, which say nothing of what an element holds.
+UTILITY = ["col-lg-4 col-md-6 col-sm-12", "col-md-8 offset-md-2", "row no-gutters", "d-flex flex-column", "mb-3 p-4", "w-100 h-100", "mx-auto px-2 py-3", "post-812 type-post status-publish", "format-standard hentry", "category-news tag-world", "page-id-7 page-template-default", "wp-block-group is-layout-flow", "has-text-align-left has-background", "grid-12 span-6 last", "u-cf js-hook", "elementor-element elementor-widget-wrap", "region-14 block-system even", "md:text-lg bg-white rounded shadow"]
 _BAD_TAGS = frozenset("nav header footer aside form menu".split())
 
 
@@ -327,9 +329,12 @@ def build_page(rng: np.random.Generator, words: list[str]) -> tuple[list, np.nda
     said = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
     pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
     mark = "\x01"
+    wide = rng.random() < 0.4  # a page of long class lists, in which names come last
 
     def attr(name: str) -> str:
         name = name.replace(" ", pick(["-", "_", " "]))
+        if wide:
+            return f' class="{" ".join(pick(UTILITY) for _ in range(int(rng.integers(1, 5))))} {name}"'
         return pick([f' class="{name}"', f' id="{name}"', f' class="{name} {pick(["box", "wrap", "inner", "clearfix", "block"])}"'])
 
     def piece(kind: str) -> str:

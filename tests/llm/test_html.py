@@ -82,3 +82,18 @@ def test_hostile_table(spark, model):
     got = {r.page_id: r for r in H.extract(df, model=model).collect()}
     assert got[1].text == got[2].text == "" and got[1].n_chars == 0 and len(got) == 4
     assert H.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first", ["col-lg-4 col-md-4 col-sm-12 col-xs-12", "post-123 type-post status-publish format-standard"])
+def test_names_behind_long_class_lists(first):
+    paths = [H.blocks_of(f'<div class="{first} {name}">x</div>')[0][0] for name in ("sidebar", "comments", "article")]
+    assert len({H._path_vector(p).tobytes() for p in paths}) == 3
+
+
+def test_pages_of_long_class_lists(model, monkeypatch):
+    plain = H.blocks_of
+    monkeypatch.setattr(H, "blocks_of", lambda page: plain(page.replace('class="', 'class="col-lg-4 col-md-4 col-sm-12 col-xs-12 ')))
+    rng = np.random.default_rng(77)
+    built = [H.build_page(rng, [f"w{k}" for k in range(300)]) for _ in range(150)]
+    marks = model.label([H.inputs(b) for b, _ in built])
+    assert np.mean(np.concatenate(marks) == np.concatenate([y for _, y in built])) > 0.93
