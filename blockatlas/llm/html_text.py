@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,14 +180,14 @@ def inputs(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
     for k, (path, text, linked) in enumerate(blocks):
         x[k, :PATH_DIM] = _path_vector(path)
         words = text.lower().split()
-        for w in words if len(words) <= 64 else words[:: len(words) // 64]:  # evenly over the whole block
+        for w, times in Counter(words).items():
             slot = _SLOT.get(w)
             if slot is None:
                 slot = _slot(w, WORD_DIM)
                 if len(_SLOT) < 200_000:
                     _SLOT[w] = slot
-            x[k, PATH_DIM + slot[0]] += slot[1]
-        x[k, PATH_DIM : PATH_DIM + WORD_DIM] /= 4 * np.sqrt(min(len(words), 64))
+            x[k, PATH_DIM + slot[0]] += times * slot[1]
+        x[k, PATH_DIM : PATH_DIM + WORD_DIM] /= 4 * np.sqrt(len(words))
         n = len(text)
         marks = sum(text.count(c) for c in ".,;:!?")
         x[k, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 6, linked, marks / n * 10, len(words) > 12, k / max(1, len(blocks) - 1), len(path) / 10, text[-1] in ".!?", 1.0)

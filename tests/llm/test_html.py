@@ -97,3 +97,13 @@ def test_pages_of_long_class_lists(model, monkeypatch):
     built = [H.build_page(rng, [f"w{k}" for k in range(300)]) for _ in range(150)]
     marks = model.label([H.inputs(b) for b, _ in built])
     assert np.mean(np.concatenate(marks) == np.concatenate([y for _, y in built])) > 0.93
+
+
+def test_every_word_of_a_long_block_counts():
+    words = [f"w{k}" for k in range(5000)]
+    one = H.inputs([(("p",), " ".join(words), 0.0)])[0]
+    want = np.zeros(H.WORD_DIM)
+    for w in words:
+        at, sign = H._slot(w, H.WORD_DIM)
+        want[at] += sign / (4 * len(words) ** 0.5)
+    assert one[H.PATH_DIM : H.PATH_DIM + H.WORD_DIM] == pytest.approx(want, rel=1e-4, abs=1e-6)
