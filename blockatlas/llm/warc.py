@@ -20,6 +20,9 @@ Defined results
 * rows that repeat the largest page_id of a payload are all responses;
 * payloads under ``min_revisit_bytes`` are always responses; an empty table writes no archive and
   reads back as an empty table with the same columns;
+* the payload is the body of an HTTP response and the whole block of every other record, whatever
+  its type, with its length and digest (a declared one is checked over an HTTP body); a revisit has none (null);
+* any ``WARC/n.n`` version line is read, and folded header lines are joined by one space;
 * records and gaps inside a member have the offset and length of the member (of its part up to the
   last record, if it breaks off; what follows is a gap of its own) and their place in its unpacked
   bytes in ``unpacked_offset`` and ``unpacked_length``, which are null elsewhere;
@@ -46,7 +49,9 @@ from .store import Scratch
 RECORDS_PER_FILE = 4000
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
-VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
+MARK = b"WARC/"  # version lines are searched for by it
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+FOLD = re.compile(rb"\r\n[ \t]+")
 GZIP_MARK = b"\x1f\x8b\x08"
 PIECE = 1 << 16
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31)
@@ -100,7 +105,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     if end < 0:
         raise Broken("header not ended")
     fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in FOLD.sub(b" ", data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Broken("header syntax")
@@ -118,13 +123,15 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
     if (want := fields.get("warc-block-digest")) and want != "sha1:" + base32_sha1(block):
         raise Broken("block digest")
     kind, payload = fields.get("warc-type"), None
-    digested = want is not None or kind == "response" and "warc-payload-digest" in fields
+    digested = want is not None or kind != "revisit" and "warc-payload-digest" in fields
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
-    if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
-        if digest not in (None, got := base32_sha1(payload)):
+    if kind != "revisit":
+        body = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+        payload, got = body if kind == "response" else block, base32_sha1(body)
+        known = kind == "response" or fields.get("warc-payload-digest", "").startswith("sha1:")
+        if known and digest not in (None, got):
             raise Broken("payload digest")
-        digest, declared = got, len(payload)
+        digest, declared = got if payload is body else base32_sha1(payload), len(payload)
     out = {"record_type": kind, "record_id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "page_id": page_id, "refers_to": refers_to, "payload_bytes": None if declared < 0 else declared, "payload_digest": digest, "payload": payload, "digested": digested}
     return out, start + length + 4
 
@@ -188,7 +195,7 @@ def _salvage_unpacked(data: bytes) -> Iterator[dict]:
         except Broken as e:
             if bad is None:
                 bad, why = at, e.args[0]
-            at = len(data) if (k := data.find(VERSION[:7], at + 1)) < 0 else k
+            at = len(data) if (k := data.find(MARK, at + 1)) < 0 else k
             continue
         if bad is not None:
             yield {"status": "gap", "reason": why, "unpacked_offset": bad, "unpacked_length": at - bad}
@@ -228,7 +235,7 @@ def salvage(content: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in byte order, with offset, length and status."""
     at, bad, why = 0, None, ""  # bad: where the bytes began that no record could be read from
     size = len(content)
-    ahead = {mark: -1 for mark in (GZIP_MARK, VERSION[:7])}
+    ahead = {mark: -1 for mark in (GZIP_MARK, MARK)}
     while at < size:
         broke = None
         try:

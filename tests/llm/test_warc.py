@@ -122,3 +122,15 @@ def test_multi_record_archive_is_read(spark, tmp_path):
     got = warc.read_archives(spark, str(tmp_path)).collect()
     assert [(r.status, r.page_id) for r in got] == [("record", 0), ("record", 1), ("gap", None), ("record", 2), ("gap", None)]
     assert [r.unpacked_length for r in got][2] == 4
+
+
+@pytest.mark.parametrize("kind", ["resource", "conversion", "request", "metadata", "warcinfo", "response"])
+def test_payload_of_every_record_type(kind):
+    block = b"GET / HTTP/1.1\r\nHost: a\r\n\r\nbody" if kind == "request" else b"text\r\n\r\nmore"
+    content_type = b"application/http; msgtype=request" if kind == "request" else b"text/plain"
+    head = b"WARC/0.18\r\nWARC-Type: %s\r\nWARC-Target-URI: http://a\r\n\t/b\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n" % (kind.encode(), content_type, len(block))
+    want = block
+    for pack in (bytes, warc.gzip_member):
+        (got,) = warc.salvage(pack(head + block + b"\r\n\r\n"))
+        assert (got["status"], got["record_type"], got["url"], got["payload"]) == ("record", kind, "http://a /b", want)
+        assert (got["payload_bytes"], got["payload_digest"]) == (len(want), warc.base32_sha1(want))
