@@ -19,7 +19,7 @@ def batch_of(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that one column's bytes stay near ``most_bytes`` (a longer single value stays whole)."""
     import pyarrow.compute as pc
 
@@ -40,12 +40,12 @@ def id_crc(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def keep_rows(df: DataFrame, column: str, keep: Callable[[list], Sequence[bool]]) -> DataFrame:
+def keep_rows(df: DataFrame, column: str, keep: Callable[[list], Sequence[bool]], most_bytes: int = 2 << 20) -> DataFrame:
     """The rows of ``df``, all their columns untouched, for whose values of one column ``keep`` says so."""
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, at):
+        for batch in pieces(batches, at, most_bytes):
             yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -26,9 +26,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import pieces
+from .arrow import batch_of, pieces
 
-CACHE_PIECES = 500_000
+CACHE_BYTES = 96 << 20  # of pieces that a task has encoded, with what Python needs for each
+CACHE_PAIRS = 400_000
+PIECE_COST = 220
+BATCH_BYTES = 1 << 20
 LONG_PIECE = 64
 
 
@@ -96,7 +99,7 @@ class Vocabulary:
         pair = a << 32 | b
         found = self.follows.get(pair)
         if found is None:
-            if len(self.follows) > 600_000:
+            if len(self.follows) > CACHE_PAIRS:
                 self.follows.clear()
             found = self.follows[pair] = self._seam(self._edge(self.bytes_of[a], 1), self._edge(self.bytes_of[b], 0))
         return found
@@ -190,8 +193,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int] | Vocabulary, pattern: str):
         self.vocab = ranks if isinstance(ranks, Vocabulary) else Vocabulary(ranks)
         self.pieces = regex.compile(pattern).findall
-        #: piece -> ids joined by commas; emptied when full.
+        #: piece -> ids joined by commas; emptied when full and at the end of a task.
         self._known: dict[str, str] = {}
+        self._held = 0
 
     def encode_piece(self, piece: bytes) -> list[int]:
         ranks = self.vocab.ranks
@@ -202,11 +206,13 @@ class Encoder:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode new pieces in byte order, so that each takes over the entries of the prefix it shares with the one before."""
         known, ranks = self._known, self.vocab.ranks
-        if len(known) >= CACHE_PIECES:
+        if self._held >= CACHE_BYTES:
             known.clear()
+            self._held = 0
         table = PrefixTable(self.vocab)
         for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
             rank = ranks.get(data)
+            self._held += 2 * len(data) + PIECE_COST
             if rank is not None:
                 known[piece] = str(rank)
                 continue
@@ -215,7 +221,14 @@ class Encoder:
                 same += 1
             table.cut(same)
             table.append(data[same:])
-            known[piece] = ",".join(map(str, table.ids()))
+            known[piece] = ids = ",".join(map(str, table.ids()))
+            self._held += len(ids)
+
+    def forget(self) -> None:
+        """Empty what encoding has gathered; the vocabulary's own tables stay."""
+        self._known.clear()
+        self.vocab.follows.clear()
+        self._held = 0
 
     def joined_batch(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by commas; long pieces are encoded where they stand."""
@@ -292,20 +305,23 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(vocabulary, pattern)
-        for batch in pieces(batches, 1, 4 << 20):
-            rows, size = [], 0
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, joined in zip(batch.column(0).to_pylist(), encoder.joined_batch(texts), strict=True):
-                ids = list(map(int, joined.split(","))) if joined else []
-                decoded = encoder.decode(ids)
-                row = [doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                rows.append(row + [ids, decoded] if with_ids else row)
-                size += len(decoded) if with_ids else 0
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        try:
+            for batch in pieces(batches, 1, BATCH_BYTES):
+                rows, size = [], 0
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc_id, joined in zip(batch.column(0).to_pylist(), encoder.joined_batch(texts), strict=True):
+                    ids = list(map(int, joined.split(","))) if joined else []
+                    decoded = encoder.decode(ids)
+                    row = [doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                    rows.append(row + [ids, decoded] if with_ids else row)
+                    size += len(decoded) if with_ids else 0
+                    if size > 16 << 20:
+                        yield batch_of(schema, list(zip(*rows, strict=True)))
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(schema, list(zip(*rows, strict=True)))
+        finally:
+            encoder.forget()  # a reused worker keeps the vocabulary only
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 

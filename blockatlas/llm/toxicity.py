@@ -18,6 +18,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,37 +33,24 @@ from .store import Scratch
 
 BITS = 20
 TRAIN_ROWS = 12_000
+PIECE_BYTES = 1 << 20  # of text that is hashed at once
 EPOCHS = 3
 _WORDS = re.compile(r"\w+").findall
-_KNOWN: dict[str, int] = {}
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _word_hashes(words: list[str]) -> list[int]:
-    known, out = _KNOWN, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            if len(known) < 400_000:
-                known[w] = h
-        out.append(h)
-    return out
-
-
 def _slots(h: np.ndarray) -> np.ndarray:
     return ((h * _B) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def slots_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of every word, pair and skip-pair of the texts; repeats are still there."""
-    hashes, sizes = [], []
-    for text in texts:
-        found = _word_hashes(_WORDS((text or "").lower()))
-        hashes.append(np.array(found, np.uint64))
-        sizes.append(len(found))
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__
+    lists = [np.array(list(map(ids.__getitem__, _WORDS((text or "").lower()))), np.int64) for text in texts]
+    known = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids), np.uint64, len(ids))
+    h = known[np.concatenate(lists)] if lists else known
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in lists])
     rows, slots = [row], [_slots(h)]
     for gap in (1, 2, 3):
         same = row[gap:] == row[:-gap]
@@ -99,41 +87,50 @@ class Ftrl:
 
 
 def fit(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Slots, weights and bias from ``rows`` (h long, text, label), which the caller bounds."""
+    """Slots, weights and bias from ``rows`` (h long, text, label), which the caller bounds.
+
+    One task learns, since each step needs the one before. It streams: the rows come by, sorted, once
+    for each epoch and once more for the margins, so the task holds the model and one batch.
+    """
     ddl = "h long, label int, slots array<int>"
     schema = schema_of(ddl)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE_BYTES):
             row, slot = slots_of(batch.column(1).to_pylist())
             key = np.unique(row.astype(np.int64) << 32 | slot)
             cuts = np.searchsorted(key >> 32, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield batch_of(schema, [batch.column(0), batch.column(2), pa.ListArray.from_arrays(cuts, (key & 0xFFFFFFFF).astype(np.int32))])
 
     def learn(batches):
-        model, kept = Ftrl(), []
+        model, w, margins, labels = Ftrl(), None, [], []
         for batch in batches:
-            labels, lists = batch.column(1).to_pylist(), batch.column(2)
+            lists = batch.column(2)
             flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            for i, label in enumerate(labels):
-                kept.append((flat[at[i] : at[i + 1]], label))
-        for _ in range(epochs):
-            for slots, label in kept:
-                model.learn(slots, label)
-        every = np.arange((1 << BITS) + 1)
-        w = model.weights(every) if kept else np.zeros(len(every))
-        labels = np.array([label for _, label in kept])
-        if len(set(labels.tolist())) == 2:
+            for i, (epoch, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                slots = flat[at[i] : at[i + 1]]
+                if epoch < epochs:
+                    model.learn(slots, label)
+                    continue
+                if w is None:
+                    w = model.weights(np.arange((1 << BITS) + 1))
+                margins.append(w[slots].sum() + w[-1])
+                labels.append(label)
+        if w is None:
+            w = np.zeros((1 << BITS) + 1)
+        margin, label = np.array(margins), np.array(labels)
+        if len(set(labels)) == 2:
             # L1 and rare positives leave the margins small and shifted: refit their slope and shift.
-            margin = np.array([w[slots].sum() for slots, _ in kept]) + w[-1]
-            slope, shift = fit_scale(np.concatenate([margin, margin]), np.stack([np.concatenate([1.0 - labels, 0.0 * labels]), np.concatenate([0.0 * labels, 1.0 * labels])]))
+            slope, shift = fit_scale(np.concatenate([margin, margin]), np.stack([np.concatenate([1.0 - label, 0.0 * label]), np.concatenate([0.0 * label, 1.0 * label])]))
             w *= slope
             w[-1] += shift
         found = np.flatnonzero(w)
         yield batch_of(schema_of("slot int, w double"), [found.astype(np.int32), w[found]])
 
     sparse = rows.select("h", "text", F.col("label").cast("int").alias("label")).mapInArrow(extract, ddl)
-    got = sparse.repartition(1).sortWithinPartitions("h").mapInArrow(learn, "slot int, w double").toArrow()
+    passes = sparse.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs))))
+    ordered = passes.repartition(1).sortWithinPartitions("epoch", "h", "label", "slots").select("epoch", "label", "slots")
+    got = ordered.mapInArrow(learn, "slot int, w double").toArrow()
     slot, w = got.column(0).to_numpy(), got.column(1).to_numpy()
     bias = w[slot == 1 << BITS].sum()
     keep = slot < 1 << BITS
@@ -183,7 +180,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_co
     schema = schema_of(ddl)
 
     def run(batches):
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE_BYTES):
             p = shipped.value(batch.column(1).to_pylist())
             yield batch_of(schema, [batch.column(0), p, (p >= threshold).astype(np.int32)])
 
@@ -193,7 +190,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_co
 def accepted(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` whose score stays below the threshold, with all their columns; no row is shuffled for it."""
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, train, id_col, text_col, label_col, train_rows))
-    return keep_rows(docs, text_col, lambda texts: shipped.value(texts) < threshold)
+    return keep_rows(docs, text_col, lambda texts: shipped.value(texts) < threshold, PIECE_BYTES)
 
 
 def op10_toxicity_ftrl(spark, sf_dir: str) -> DataFrame:
