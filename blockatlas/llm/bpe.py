@@ -19,6 +19,7 @@ Defined results
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,8 @@ CACHE_PAIRS = 400_000
 PIECE_COST = 220
 BATCH_BYTES = 1 << 20
 LONG_PIECE = 64
+#: How far beyond a match the pattern may look, apart from a run of white space that follows it.
+LOOK = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -192,6 +195,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int] | Vocabulary, pattern: str):
         self.vocab = ranks if isinstance(ranks, Vocabulary) else Vocabulary(ranks)
+        self.matches = regex.compile(pattern).finditer
         self.pieces = regex.compile(pattern).findall
         #: piece -> ids joined by commas; emptied when full and at the end of a task.
         self._known: dict[str, str] = {}
@@ -255,27 +259,42 @@ class Encoder:
 
 
 class EncodedText:
-    """A text kept encoded while it is appended to or edited: only pieces that change are encoded again."""
+    """A text kept encoded while it is appended to or edited: only text near the edit is split and encoded again.
+
+    Splitting starts at the last piece that the edit cannot have changed: one that ends more than
+    ``LOOK`` characters, beyond any white space behind it, before the edit. It stops where a piece
+    begins at which the old text had one, since patterns do not look back.
+    """
 
     def __init__(self, encoder: Encoder, text: str = ""):
         self.encoder, self.text = encoder, text
-        self.pieces = encoder.pieces(text)
+        found = [(m.start(), m[0]) for m in encoder.matches(text)]
+        self.starts, self.pieces = [a for a, _ in found], [p for _, p in found]
         self.ids = [encoder.encode_piece(p.encode("utf-8", "surrogatepass")) for p in self.pieces]
 
     def edit(self, start: int, stop: int, new: str) -> int:
         """Replace characters ``start:stop``; returns the number of pieces encoded again."""
+        at = max(0, start - LOOK)
+        while at and self.text[at - 1].isspace():
+            at -= 1
+        first = max(0, bisect.bisect_left(self.starts, at) - 1)  # pieces before it end at or before ``at``
+        shift = len(new) - (stop - start)
         self.text = self.text[:start] + new + self.text[stop:]
-        pieces = self.encoder.pieces(self.text)
-        same = 0
-        while same < min(len(pieces), len(self.pieces)) and pieces[same] == self.pieces[same]:
-            same += 1
-        back = 0
-        while back < min(len(pieces), len(self.pieces)) - same and pieces[-1 - back] == self.pieces[-1 - back]:
-            back += 1
-        middle = [self.encoder.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces[same : len(pieces) - back]]
-        self.ids[same : len(self.ids) - back] = middle
-        self.pieces = pieces
-        return len(middle)
+        begin = self.starts[first] if first < len(self.starts) else 0
+        starts, pieces, last = [], [], len(self.starts)
+        for m in self.encoder.matches(self.text, begin):
+            old = m.start() - shift
+            if old >= stop:
+                k = bisect.bisect_left(self.starts, old)
+                if k < len(self.starts) and self.starts[k] == old:
+                    last = k
+                    break
+            starts.append(m.start())
+            pieces.append(m[0])
+        self.ids[first:last] = [self.encoder.encode_piece(p.encode("utf-8", "surrogatepass")) for p in pieces]
+        self.pieces[first:last] = pieces
+        self.starts[first:] = starts + [a + shift for a in self.starts[last:]]
+        return len(pieces)
 
     def append(self, more: str) -> int:
         return self.edit(len(self.text), len(self.text), more)
