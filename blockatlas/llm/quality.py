@@ -74,9 +74,19 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def lower_inverse(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, row by row."""
+    out = np.zeros_like(factor)
+    for i in range(len(factor)):
+        out[i] = -(factor[i, :i] @ out[:i])
+        out[i, i] += 1.0
+        out[i] /= factor[i, i]
+    return out
+
+
 @dataclass
 class Discriminant:
-    """mean and scale standardise; centres, factors and logs are by class; slope and shift make scores."""
+    """mean and scale standardise; centres, Cholesky factors and priors are by class; slope and shift make scores."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -87,13 +97,18 @@ class Discriminant:
     shift: float = 0.0
     constant: float | None = None
 
+    def __post_init__(self):
+        # What every batch needs of a factor, found once: its inverse (by forward substitution) and its log determinant.
+        self.whiten = [lower_inverse(f) for f in self.factors]
+        self.log_det = [float(np.log(np.diag(f)).sum()) for f in self.factors]
+
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density and prior of class 1 less those of class 0."""
         z = np.clip((x - self.mean) / self.scale, -12, 12)
         parts = []
-        for centre, factor, prior in zip(self.centres, self.factors, self.priors, strict=True):
-            y = np.linalg.solve(factor, (z - centre).T)
-            parts.append(-0.5 * (y * y).sum(0) - np.log(np.diag(factor)).sum() + np.log(prior))
+        for centre, whiten, log_det, prior in zip(self.centres, self.whiten, self.log_det, self.priors, strict=True):
+            y = (z - centre) @ whiten.T
+            parts.append(-0.5 * (y * y).sum(1) - log_det + np.log(prior))
         return parts[1] - parts[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
