@@ -144,17 +144,17 @@ def links_between(sets: list[np.ndarray], sig: np.ndarray, i: np.ndarray, j: np.
     return i[ok], j[ok]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row that each row is connected with."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, low)
-        np.minimum.at(label, j, low)
-        label = label[label]
-        if (label == before).all():
-            return label
+def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with, from those so far and more links."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not ((up := label[label]) == label).all():
+            label = up
+    return label
 
 
 def _compare(block: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -171,35 +171,42 @@ def _compare(block: np.ndarray, bi: int, bj: int) -> Iterator[tuple[np.ndarray,
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp (of the shingle set; null without shingles), size and sig of each row."""
-    ddl = "doc_id long, fp string, size long, sig binary"
+    """doc_id, key (hash of the text), fp (of the shingle set; null without shingles), size and sig of each row."""
+    ddl = "doc_id long, key long, fp string, size long, sig binary"
     schema = schema_of(ddl)
 
     def run(batches):
-        for batch in pieces(batches, 1):
-            sets = shingle_sets(batch.column(1).to_pylist())
+        for batch in pieces(batches, 2):
+            sets = shingle_sets(batch.column(2).to_pylist())
             full = [k for k, s in enumerate(sets) if len(s)]
             sig = signatures([sets[k] for k in full])
             fp, sigs = [None] * len(sets), [None] * len(sets)
             for k, row in zip(full, sig, strict=True):
                 fp[k], sigs[k] = xxhash.xxh3_128_hexdigest(sets[k].tobytes()), row.tobytes()
-            yield batch_of(schema, [batch.column(0), fp, [len(s) for s in sets], sigs])
+            yield batch_of(schema, [batch.column(0), batch.column(1), fp, [len(s) for s in sets], sigs])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return keyed(docs, id_col, text_col).mapInArrow(run, ddl)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, text: id and hash of the text find a row again, also where ids are null or repeat."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, kept.
+    """One row per row of ``docs``: doc_id, key, class_id, n_links, kept, chosen.
 
     n_links counts the other rows with a similarity of ``threshold`` or more; class_id is the
-    smallest doc_id reachable by such links; kept says whether the row has that id itself.
+    smallest doc_id reachable by such links; kept says whether the row has that id itself. Ids may
+    repeat: key is a hash of the row's text, and chosen is true for one (doc_id, key) of each class.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = scratch.save(describe(docs, id_col, text_col), "rows")
     cid = F.conv(F.substring("fp", 1, 15), 16, 10).cast("long")
-    classes = rows.filter(F.col("fp").isNotNull()).groupBy(cid.alias("cid"), "fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = scratch.save(classes, "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key"))
+    classes = rows.filter(F.col("fp").isNotNull()).groupBy(cid.alias("cid"), "fp").agg(first.alias("first"), F.count(F.lit(1)).alias("rows"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes.select("cid", "fp", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), "rows", "size", "sig"), "classes")
 
     width = 4 * ROWS_A_BAND
     keys = [F.xxhash64(F.lit(b), F.substring("sig", 1 + width * b, width)) for b in range(BANDS)]
@@ -213,8 +220,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = scratch.save(members.groupBy("cluster").agg(blocks.alias("blocks"), F.sum("size").alias("total")), "clusters")
     bundles = max(16, -(-(sizes.filter("blocks = 1").agg(F.sum("total")).first()[0] or 0) // BLOCK_SHINGLES))
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = texts.alias("d").join(placed.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.rep"))).select("d.text", "m.cid", "m.fp", "m.cluster", "m.block", "m.blocks", "m.rows", "m.sig")
+    texts = keyed(docs, id_col, text_col)
+    same_row = (F.col("d.key") == F.col("m.key")) & F.col("d.doc_id").eqNullSafe(F.col("m.rep"))
+    wanted = texts.alias("d").join(placed.alias("m"), same_row).select("d.text", "m.cid", "m.fp", "m.cluster", "m.block", "m.blocks", "m.rows", "m.sig")
     sets = wanted.mapInArrow(_with_sets, _SET_DDL)
     # A small cluster goes into a bundle whole; a large one is compared block by block.
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -241,7 +249,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if len(i):
                 n = np.bincount(i, weight[j], len(cids)) + np.bincount(j, weight[i], len(cids))
                 at = np.flatnonzero(n)
-                label = _forest(len(cids), i, j)
+                label = _forest(np.arange(len(cids)), i, j)
                 found.append((cids[at], cids[label[at]], n[at].astype(np.int64)))
         empty = [np.zeros(0, np.int64)] * 3
         return pa.Table.from_batches([batch_of(schema_of(_LINK_DDL), [np.concatenate(x) for x in zip(*found, strict=True)] if found else empty)])
@@ -249,13 +257,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = scratch.save(spread.groupBy("part", "bi", "bj").applyInArrow(verify, _LINK_DDL), "links")
     groups = components(linked.select(F.col("cid").alias("u"), F.col("root").alias("v")), scratch, "groups")
     counts = linked.groupBy("cid").agg(F.sum("n").alias("near"))
-    described = classes.select("cid", "fp", "rep", "rows").join(counts, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    described = classes.select("cid", "fp", "rep", "key", "rows").join(counts, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     described = scratch.save(described, "described")
-    lowest = described.groupBy("component").agg(F.min("rep").alias("class_id"))
-    by_class = scratch.save(described.join(lowest, "component").select("fp", "class_id", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "by_class")
-    out = rows.select("doc_id", "fp").join(by_class, "fp", "left")
-    class_id = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    lowest = described.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull().alias("unknown"), "rep", "key")).alias("first"))
+    lowest = lowest.select("component", F.col("first.rep").alias("class_id"), F.col("first.key").alias("class_key"))
+    by_class = scratch.save(described.join(lowest, "component").select("fp", "class_id", "class_key", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "by_class")
+    scratch.keep("rows", "by_class")
+    out = rows.select("doc_id", "key", "fp").join(by_class, "fp", "left")
+    alone = F.col("fp").isNull()
+    class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
+    chosen = alone | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))
+    return out.select("doc_id", "key", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"), chosen.alias("chosen"))
 
 
 _SET_DDL = "cid long, cluster long, block long, blocks long, rows long, sig binary, shingles binary"
@@ -263,12 +275,18 @@ _LINK_DDL = "cid long, root long, n long"
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the class's document; rows that only share its id are left out."""
+    """Shingle sets of the class's document, once a task where rows repeat its id and text."""
     schema = schema_of(_SET_DDL)
-    for batch in pieces(batches, 0, 4 << 20):
+    seen = set()
+    for batch in pieces(batches, 0, 2 << 20):
+        fresh = []
+        for cid in batch.column(1).to_pylist():
+            fresh.append(cid not in seen)
+            seen.add(cid)
+        batch = batch.filter(pa.array(fresh))
         sets = [s.tobytes() for s in shingle_sets(batch.column(0).to_pylist())]
         fp = batch.column(2).to_pylist()
-        own = pa.array([xxhash.xxh3_128_hexdigest(s) == f for s, f in zip(sets, fp, strict=True)])
+        own = pa.array([xxhash.xxh3_128_hexdigest(s) == f for s, f in zip(sets, fp, strict=True)], pa.bool_())
         cols = [batch.column(k) for k in (1, 3, 4, 5, 6, 7)] + [pa.array(sets, pa.binary())]
         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema, strict=True)], schema=schema).filter(own)
 
@@ -276,4 +294,4 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     from .tables import table
 
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")

@@ -116,3 +116,34 @@ def test_components(spark, edges):
             if u in want and v in want:
                 want[u] = want[v] = min(want[u], want[v])
     assert got == want
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    rows = [(None, t, s) for _, t, s in corpus(rng, 60)] + [(7, t, s) for _, t, s in corpus(rng, 40)] + corpus(rng, 20)
+    rows += [(None, rows[3][1], "s")] * 40
+    got = check(spark, rows)
+    # One (doc_id, key) of each class is chosen.
+    keys = {}
+    for r in got:
+        if r.chosen and r.class_id is not None:
+            keys.setdefault(r.class_id, set()).add((r.doc_id, r.key))
+    classes = {c for _, c, _ in brute(rows) if c is not None}
+    assert set(keys) >= classes and all(len([k for k in v if k[0] is not None]) >= 1 for v in keys.values())
+
+
+def test_rows_are_found_again_without_a_product_of_null_ids(spark):
+    given = docs(spark, [(None, words(30, 100 * k), "s") for k in range(200)])
+    rows = jaccard.keyed(given, "doc_id", "text")
+    assert rows.select("key").distinct().count() == 200
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    import sys
+
+    module = sys.modules["blockatlas.llm.components"]
+    monkeypatch.setattr(module, "HUB_LINKS", 3)
+    monkeypatch.setattr(module, "HUBS", 10)
+    edges = [(50, k) for k in range(51, 400)] + [(k, 1000 + k) for k in range(60, 90)] + [(3, 1070), (2, 3)] + [(2000, 2000 + k) for k in range(1, 200)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}
+    assert {c for n, c in got.items() if n < 2000} == {2} and {c for n, c in got.items() if n >= 2000} == {2000} and len(got) == len({x for e in edges for x in e})
