@@ -14,7 +14,7 @@ end symbol; contexts at the start of a text are end symbols.
 How it is spread out: texts are written once, cut into chunks of ``chunk_bytes``. Each chunk sends
 its distinct grams and words with counts (never its positions); those are added up over the
 corpus, valued, and sent back to the chunks that asked, where they are looked up in a sorted
-array. Nothing that grows with the corpus is broadcast: only nodes of depth 2 and less are, of
+array. Which chunks asked for a gram is kept in lists of bounded length. Nothing that grows with the corpus is broadcast: only nodes of depth 2 and less are, of
 which there are at most ``65536 * 255`` however large the corpus is.
 
 Defined results
@@ -42,6 +42,7 @@ from .store import Scratch
 DEPTH = 5
 CHUNK_BYTES = 24 << 20
 BUNDLE_GRAMS = 400_000
+GROUP_CHUNKS = 4096
 END = b"\n"
 UPPER = 2  # depths up to this one are mixed on the driver
 _TABLE = np.array([math.lgamma(i + 0.5) for i in range(4096)])
@@ -216,7 +217,7 @@ class _ChunkCounts:
         return np.concatenate([self.grams[0], keys]), np.concatenate([self.grams[1], n]).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES, group_chunks: int = GROUP_CHUNKS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     ``held_out``: a condition on ``doc_id``; texts for which it holds are not learned from.
@@ -268,18 +269,23 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
             k = keys[i : i + 200_000]
             yield batch_of(schema_of(ask), [np.full(len(k), chunk), k, n[i : i + 200_000]])
 
-    asked = texts.mapInArrow(count, ask)
-    found = scratch.save(asked.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")), "counts")
+    # A common gram is asked for by nearly every chunk: its chunks are kept in lists of GROUP_CHUNKS at most.
+    groups = max(1, -(-texts.select("chunk").distinct().count() // group_chunks))
+    asked = texts.mapInArrow(count, ask).withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(groups)))
+    found = scratch.save(asked.groupBy("key", "grp").agg(F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")).drop("grp"), "counts")
+    counts = found.select("key", "n")
+    if groups > 1:
+        counts = scratch.save(counts.groupBy("key").agg(F.sum("n").alias("n")), "sums")
 
     is_word = F.col("key") < 0
-    totals = found.agg(F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count(F.when(is_word & (F.col("n") > 0), 1)), F.count(F.when(~is_word, 1))).first()
+    totals = counts.agg(F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count(F.when(is_word & (F.col("n") > 0), 1)), F.count(F.when(~is_word, 1))).first()
     ends = texts.filter(~F.col("held_out")).count()
     train_tokens, distinct = int(totals[0]) + ends, int(totals[1]) + (ends > 0)
 
     # A bundle holds whole subtrees of depth UPPER + 1; even one such subtree has at most 256 ** (depth - UPPER) grams.
     subtree = F.xxhash64(F.shiftright("key", 8 * (depth - UPPER)))
     bundles = max(16, -(-totals[2] // BUNDLE_GRAMS))
-    grams = found.filter("key >= 0").select("key", "n", F.pmod(subtree, F.lit(bundles)).alias("bundle"))
+    grams = counts.filter("key >= 0").select("key", "n", F.pmod(subtree, F.lit(bundles)).alias("bundle"))
     up_ddl = "key long, a double, b double, below double"
 
     def summarise(table: pa.Table) -> pa.Table:
@@ -291,22 +297,27 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     order = np.argsort(got["key"].to_numpy())
     key, a, b, below = (got[c].to_numpy()[order] for c in ("key", "a", "b", "below"))
     top = spark.sparkContext.broadcast(top_state(Level(key, np.rint(a), np.rint(b), below)))
-    value_ddl = "key long, v float"
+    value_ddl = "key long, v double"
 
     def value(table: pa.Table) -> pa.Table:
         keys, n = _sorted(table)
-        return pa.Table.from_batches([batch_of(schema_of(value_ddl), [keys, gram_scores(keys, n, depth, top.value).astype(np.float32)])])
+        return pa.Table.from_batches([batch_of(schema_of(value_ddl), [keys, gram_scores(keys, n, depth, top.value)])])
 
     valued = scratch.save(grams.groupBy("bundle").applyInArrow(value, value_ddl), "values")
-    told = found.filter("key < 0").select(F.explode("chunks").alias("chunk"), "key", F.col("n").cast("float").alias("v")).unionByName(
-        found.filter("key >= 0").join(valued, "key").select(F.explode("chunks").alias("chunk"), "key", "v")
-    )
+    # Counts of words and values of grams travel as doubles: counts stay exact up to 2**53.
+    words = counts.filter("key < 0").select("key", F.col("n").cast("double").alias("v"))
+    told = found.filter("key >= 0").join(valued, "key")
+    if groups > 1:
+        told = told.unionByName(found.filter("key < 0").join(words, "key"))
+    else:
+        told = told.unionByName(found.filter("key < 0").withColumn("v", F.col("n").cast("double")))
+    told = told.select(F.explode("chunks").alias("chunk"), "key", "v")
     out_ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, v = right["key"].to_numpy(), right["v"].to_numpy()
         order = np.argsort(keys)
-        keys, v = keys[order], v[order].astype(np.float64)
+        keys, v = keys[order], v[order]
         bodies = left["body"].to_pylist()
         ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__

@@ -80,7 +80,7 @@ def check(spark, rows, depth=3, **kw):
     assert len(got) == len(want)
     for g, w in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key)):
         assert g[:5] == w[:5]
-        assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5, abs=1e-5)
+        assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9, abs=1e-9)
     return got
 
 
@@ -89,6 +89,18 @@ def test_as_defined(spark, depth, chunk):
     rng = random.Random(8)
     rows = [(k, " ".join(rng.choice(["the", "then", "Their", "a", "héron", "b\tc"]) for _ in range(rng.randint(0, 9))), "s") for k in range(40)]
     check(spark, rows, depth, chunk_bytes=chunk)
+    check(spark, rows, depth, chunk_bytes=chunk, group_chunks=2)
+
+
+def test_counts_beyond_single_precision(spark):
+    n = (1 << 24) + 3
+    rows = [(1, "a " * n, "s"), (2, "a b", "s"), (3, "a", "s")]
+    got = {r.doc_id: r for r in ctw.score_texts(docs(spark, rows), id_crc(F.col("doc_id")) % 10 == 0, depth=3).collect()}
+    assert not any(held_out(i) for i in got)
+    total, log = n + 2 + 1 + 3, lambda c: math.log10((c + 0.1) / (n + 6 + 0.1 * 4))
+    assert got[1].train_tokens == total and got[1].n_tokens == n + 1
+    assert got[2].base_score == pytest.approx(log(n + 2) + log(1) + log(3), rel=1e-12)
+    assert got[1].base_score == pytest.approx(n * log(n + 2) + log(3), rel=1e-9)
 
 
 def test_hostile_rows(spark):
