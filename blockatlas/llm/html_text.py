@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +43,23 @@ BUILT_PAGES = 700
 EPOCHS = 5
 SEED = 11
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>?", re.S)
+#: Attributes as HTML reads them: a quote opens a value only right behind the equals sign; one that never closes is part of a bare value.
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_BARE = _VALUE.replace("([", "(?:[")
+#: Attributes as HTML reads them: a quote opens a value only right behind the equals sign; one that never closes is part of a bare value.
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+))"""
+_BARE = _VALUE.replace("([", "(?:[")
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*+(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_BARE})?+)*+>?", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_TOLD = frozenset("class id role itemprop".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Elements whose content is no text of the page.
-_HIDDEN = frozenset("script style template noscript head svg math iframe object canvas audio video select textarea button".split())
+_HIDDEN = frozenset("script style template noscript head svg annotation annotation-xml iframe object canvas audio video select textarea button".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE |= frozenset("nobr output picture rb rp rt rtc ruby math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose semantics".split())
+_INLINE |= frozenset("nobr output picture rb rp rt rtc ruby math mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd mstyle mpadded mphantom menclose semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag of the first kind ends an open element of the second.
@@ -58,44 +67,197 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
+class Path:
+    """What the open elements around a block tell of it: their marks' vector, their number, whether they are of the article.
+
+    main: inside an article or main element and not in furniture of it; any_main: inside one at all.
+    """
+
+    __slots__ = ("vector", "depth", "main", "any_main")
+
+    def __init__(self, vector: np.ndarray, depth: int, main: bool, any_main: bool):
+        self.vector, self.depth, self.main, self.any_main = vector, depth, main, any_main
+
+    def __len__(self) -> int:
+        return self.depth
+
+
+class _Open:
+    """The open elements. Everything asked of them is kept up to date, so nothing walks the whole stack."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.rows: list[tuple[list[str], bool, bool]] = []  # marks, main, any_main; of inline elements those around them
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places on the stack
+        self.blocks: list[int] = []  # places of the elements that are not inline
+        self.hidden = self.links = 0
+        self._times: Counter[str] = Counter()
+        self._vector = np.zeros(PATH_DIM, np.float32)
+        self._path: Path | None = None
+
+    def push(self, tag: str, marks: list[str]) -> None:
+        _, main, any_main = self.rows[-1] if self.rows else ([], False, False)
+        inline = tag in _INLINE
+        if not inline:
+            self._path = None
+            self.blocks.append(len(self.tags))
+            for m in marks:
+                self._times[m] += 1
+                if self._times[m] == 1:
+                    at, sign = _mark_slot(m)
+                    self._vector[at] += sign
+            if tag in ("article", "main"):
+                main = any_main = True
+            elif tag in _BAD_TAGS and tag != "header":
+                main = False
+        self.at[tag].append(len(self.tags))
+        self.tags.append(tag)
+        self.rows.append(([] if inline else marks, main, any_main))
+        self.hidden += tag in _HIDDEN
+        self.links += tag == "a"
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            tag, (marks, _, _) = self.tags.pop(), self.rows.pop()
+            self.at[tag].pop()
+            self.hidden -= tag in _HIDDEN
+            self.links -= tag == "a"
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+                self._path = None
+                for m in marks:
+                    self._times[m] -= 1
+                    if not self._times[m]:
+                        at, sign = _mark_slot(m)
+                        self._vector[at] -= sign
+
+    def find(self, tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int:
+        """The place of the innermost of ``tags`` if none of ``stops`` is open inside it, else -1."""
+        last = lambda names: max((self.at[t][-1] for t in names if self.at[t]), default=-1)
+        found = last(tags)
+        return found if found > last(stops) else -1
+
+    def only_inline_from(self, place: int) -> bool:
+        return not self.blocks or self.blocks[-1] < place
+
+    def path(self) -> Path:
+        if self._path is None:
+            v = self._vector.copy()
+            if self.blocks:
+                at, sign = _mark_slot("last " + self.tags[self.blocks[-1]])
+                v[at] += sign
+            _, main, any_main = self.rows[-1] if self.rows else ([], False, False)
+            self._path = Path(v, len(self.blocks), main, any_main)
+        return self._path
+
+
+class Path:
+    """What the open elements around a block tell of it: their marks' vector, their number, whether they are of the article.
+
+    main: inside an article or main element and not in furniture of it; any_main: inside one at all.
+    """
+
+    __slots__ = ("vector", "depth", "main", "any_main")
+
+    def __init__(self, vector: np.ndarray, depth: int, main: bool, any_main: bool):
+        self.vector, self.depth, self.main, self.any_main = vector, depth, main, any_main
+
+    def __len__(self) -> int:
+        return self.depth
+
+
+class _Open:
+    """The open elements. Everything asked of them is kept up to date, so nothing walks the whole stack."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.rows: list[tuple[list[str], bool, bool]] = []  # marks, main, any_main; of inline elements those around them
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # tag -> places on the stack
+        self.blocks: list[int] = []  # places of the elements that are not inline
+        self.hidden = self.links = 0
+        self._times: Counter[str] = Counter()
+        self._vector = np.zeros(PATH_DIM, np.float32)
+        self._path: Path | None = None
+
+    def push(self, tag: str, marks: list[str]) -> None:
+        _, main, any_main = self.rows[-1] if self.rows else ([], False, False)
+        inline = tag in _INLINE
+        if not inline:
+            self._path = None
+            self.blocks.append(len(self.tags))
+            for m in marks:
+                self._times[m] += 1
+                if self._times[m] == 1:
+                    at, sign = _mark_slot(m)
+                    self._vector[at] += sign
+            if tag in ("article", "main"):
+                main = any_main = True
+            elif tag in _BAD_TAGS and tag != "header":
+                main = False
+        self.at[tag].append(len(self.tags))
+        self.tags.append(tag)
+        self.rows.append(([] if inline else marks, main, any_main))
+        self.hidden += tag in _HIDDEN
+        self.links += tag == "a"
+
+    def pop_to(self, place: int) -> None:
+        while len(self.tags) > place:
+            tag, (marks, _, _) = self.tags.pop(), self.rows.pop()
+            self.at[tag].pop()
+            self.hidden -= tag in _HIDDEN
+            self.links -= tag == "a"
+            if self.blocks and self.blocks[-1] == len(self.tags):
+                self.blocks.pop()
+                self._path = None
+                for m in marks:
+                    self._times[m] -= 1
+                    if not self._times[m]:
+                        at, sign = _mark_slot(m)
+                        self._vector[at] -= sign
+
+    def find(self, tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int:
+        """The place of the innermost of ``tags`` if none of ``stops`` is open inside it, else -1."""
+        last = lambda names: max((self.at[t][-1] for t in names if self.at[t]), default=-1)
+        found = last(tags)
+        return found if found > last(stops) else -1
+
+    def only_inline_from(self, place: int) -> bool:
+        return not self.blocks or self.blocks[-1] < place
+
+    def path(self) -> Path:
+        if self._path is None:
+            v = self._vector.copy()
+            if self.blocks:
+                at, sign = _mark_slot("last " + self.tags[self.blocks[-1]])
+                v[at] += sign
+            _, main, any_main = self.rows[-1] if self.rows else ([], False, False)
+            self._path = Path(v, len(self.blocks), main, any_main)
+        return self._path
+
+
+def blocks_of(page: str | None) -> list[tuple[Path, str, float]]:
     """The leaf blocks: (path, text, share of its characters in links)."""
     page = page or ""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []  # (tag, key for the path)
+    out: list[tuple[Path, str, float]] = []
+    opened = _Open()
     text: list[str] = []
-    linked = hidden = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if text:
             words = " ".join("".join(text).split())
             if words:
-                out.append((tuple(key for tag, key in stack if tag not in _INLINE), words, min(1.0, linked / len(words))))
+                out.append((opened.path(), words, min(1.0, linked / len(words))))
             text.clear()
         linked = 0
 
-    def pop_to(at: int) -> None:
-        nonlocal hidden, links
-        for tag, _ in stack[at:]:
-            hidden -= tag in _HIDDEN
-            links -= tag == "a"
-        del stack[at:]
-
-    def find(tags: tuple[str, ...], stops: tuple[str, ...] = ()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stops:
-                return -1
-        return -1
-
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not hidden:
+        if raw and not opened.hidden:
             raw = htmllib.unescape(raw)
             text.append(raw)
-            if links:
+            if opened.links:
                 linked += len(" ".join(raw.split()))
 
     at = 0
@@ -112,34 +274,33 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         tag = name[1].lower()
         if token[1] == "/":
-            k = find((tag,))
+            k = opened.find((tag,))
             if tag not in _INLINE and tag not in _HIDDEN:
                 flush()
                 if tag == "p" and k < 0:
                     continue
-            if k >= 0 and (tag not in _INLINE or all(t in _INLINE for t, _ in stack[k:])):
-                pop_to(k)
+            if k >= 0 and (tag not in _INLINE or opened.only_inline_from(k)):
+                opened.pop_to(k)
             continue
         if tag == "br":
             add("\n")
             continue
         if tag not in _INLINE and tag not in _HIDDEN:
             flush()
-        if tag in _CLOSES_P and (k := find(("p",), ("td", "th", "li", "div", "section", "article", "body", "button"))) >= 0:
-            pop_to(k)
-        if tag in _ENDS and (k := find(_ENDS[tag], _STOPS[tag])) >= 0:
-            pop_to(k)
+        if tag in _CLOSES_P and (k := opened.find(("p",), ("td", "th", "li", "div", "section", "article", "body", "button"))) >= 0:
+            opened.pop_to(k)
+        if tag in _ENDS and (k := opened.find(_ENDS[tag], _STOPS[tag])) >= 0:
+            opened.pop_to(k)
         if tag in _VOID or token.endswith("/>") and tag in ("path", "circle"):
             continue
-        if tag == "body" and (k := find(("head",))) >= 0:
-            pop_to(k)
-        marks = [tag]
-        if "=" in token:
-            for attr, a, b, c in _ATTR.findall(token):
-                marks += [f"{attr.lower()}:{w.lower()}" for w in _PARTS.findall(a or b or c)]
-        stack.append((tag, " ".join(marks)))
-        hidden += tag in _HIDDEN
-        links += tag == "a"
+        if tag == "body" and (k := opened.find(("head",))) >= 0:
+            opened.pop_to(k)
+        marks = [] if tag in ("html", "body") else [tag]
+        if "=" in token and tag not in _INLINE:
+            for attr, a, b, c in _ATTR.findall(token, name.end()):
+                if (attr := attr.lower()) in _TOLD:
+                    marks += [f"{attr}:{w.lower()}" for w in _PARTS.findall(htmllib.unescape(a or b or c))]
+        opened.push(tag, marks)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             stop = end.start() if end else len(page)
@@ -150,7 +311,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
 
 
 _SLOT: dict[str, tuple[int, float]] = {}
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
+_MARK: dict[str, tuple[int, float]] = {}
 
 
 def _slot(word: str, dim: int) -> tuple[int, float]:
@@ -158,20 +319,23 @@ def _slot(word: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h >> 40 & 1 else -1.0
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _PATHS.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIM, np.float32)
-        for mark in {m for key in path for m in key.split()} - {"html", "body"}:
-            at, sign = _slot(mark, PATH_DIM)
-            v[at] += sign
-        if path:
-            at, sign = _slot("last " + path[-1].split()[0], PATH_DIM)
-            v[at] += sign
-        if len(_PATHS) > 50_000:
-            _PATHS.clear()
-        _PATHS[path] = v
-    return v
+def _mark_slot(mark: str) -> tuple[int, float]:
+    found = _MARK.get(mark)
+    if found is None:
+        if len(_MARK) > 50_000:
+            _MARK.clear()
+        found = _MARK[mark] = _slot(mark, PATH_DIM)
+    return found
+
+
+def _path_vector(path: Path | tuple[str, ...]) -> np.ndarray:
+    """Of a path, or of the keys (tag and marks) of its elements."""
+    if isinstance(path, Path):
+        return path.vector
+    opened = _Open()
+    for key in path:
+        opened.push(key.split()[0], [m for m in key.split() if m not in ("html", "body")])
+    return opened.path().vector
 
 
 def inputs(blocks: list[tuple[tuple[str, ...], str, float]]) -> np.ndarray:
@@ -394,14 +558,9 @@ def build_page(rng: np.random.Generator, words: list[str]) -> tuple[list, np.nda
 
 def weak_labels(blocks: list) -> np.ndarray | None:
     """Labels from semantic elements alone; None where the page has no article or main element."""
-    tags = [[key.split()[0] for key in path] for path, _, _ in blocks]
-    if not any("article" in t or "main" in t for t in tags):
+    if not any(path.any_main for path, _, _ in blocks):
         return None
-    y = np.zeros(len(blocks), np.float32)
-    for k, t in enumerate(tags):
-        top = max((i for i, x in enumerate(t) if x in ("article", "main")), default=-1)
-        y[k] = top >= 0 and not (_BAD_TAGS - {"header"} & set(t)) & set(t[top:])
-    return y
+    return np.array([path.main for path, _, _ in blocks], np.float32)
 
 
 def train(pages: list[str], seed: int = SEED, built: int = BUILT_PAGES) -> BiLstm:
@@ -411,7 +570,7 @@ def train(pages: list[str], seed: int = SEED, built: int = BUILT_PAGES) -> BiLst
     words = [w for b in found for _, text, _ in b for w in text.split()] or [f"w{k}" for k in range(200)]
     words = [words[k] for k in rng.integers(0, len(words), 5000)]
     sequences = [build_page(rng, words) for _ in range(built)]
-    sequences += [(b, y) for b in found if len(b) <= 200 and (y := weak_labels(b)) is not None]
+    sequences += [(b, y) for b in found if (y := weak_labels(b)) is not None]
     model = BiLstm(seed)
     model.fit([(inputs(b), y) for b, y in sequences if len(b)])
     return model

@@ -107,3 +107,38 @@ def test_every_word_of_a_long_block_counts():
         at, sign = H._slot(w, H.WORD_DIM)
         want[at] += sign / (4 * len(words) ** 0.5)
     assert one[H.PATH_DIM : H.PATH_DIM + H.WORD_DIM] == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p class=it's>Hello I don't know</p>", ["Hello I don't know"]),
+    ("<a href=/o'neil>link</a> text <p>we can't</p>", ["link text", "we can't"]),
+    ("""<p title="a>b" data-x='"'>x</p><p class = main >y""", ["x", "y"]),
+    ('<p a="never closed>x</p><p>y</p>', ["x", "y"]),
+    ("<p>mass <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>E=mc^2</annotation></math> holds</p>", ["mass E=mc2 holds"]),
+    ("<p>a<!-->b<!-- c --!>d<br/>e<img src=x alt='>'>f", ["abd ef"]),
+])
+def test_attributes_comments_and_formulas(page, want):
+    assert [t for _, t, _ in H.blocks_of(page)] == want
+
+
+def test_only_named_attributes_tell_of_a_path():
+    plain, other, named = (H.blocks_of(p)[0][0].vector for p in ("<div>x", "<div data-class=sidebar title='class=menu'>x", "<div class=sidebar>x"))
+    assert (plain == other).all() and (plain != named).any()
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<div class=c{}>x", "<b><div></b>x", "<ul><li>x", "x</i>"])
+def test_deep_nesting_is_linear(piece):
+    import time
+
+    times = []
+    for n in (4000, 32_000):
+        page, start = "".join(piece.format(k) for k in range(n)), time.process_time()
+        assert H.blocks_of(page)
+        times.append(time.process_time() - start)
+    assert times[1] < 40 * times[0] + 0.5  # eight times the page; 64 times if it were quadratic
+
+
+def test_long_pages_are_learned_from():
+    page = "<nav>menu</nav><article>" + "<p>text of it</p>" * 500 + "</article>"
+    blocks = H.blocks_of(page)
+    assert H.weak_labels(blocks).sum() == 500 and H.train([page], built=5).p["out"].any()
