@@ -3,9 +3,10 @@
 Writer. Each page becomes one gzip member holding one WARC/1.1 record (``response``, or
 ``revisit`` for a payload that another page's response holds). Members are handed to Spark's text
 writer as raw bytes, so files are committed by the job's output committer on whatever store the
-path names, and a lost executor only repeats its task. The text writer puts its separator after
-each row; the separator is a NUL, and each member gives up its own last byte, which is a NUL
-(the top byte of gzip's length field). A member of 16 MiB or more gets an empty member after it.
+path names, and a lost executor only repeats its task. A row is a bundle of members, and a file has
+so many bundles, which bounds its bytes. The text writer puts its separator after each row; the
+separator is a NUL, and each bundle gives up its own last byte, which is a NUL (the top byte of
+gzip's length field). A member of 16 MiB or more gets an empty member after it.
 
 Reader. Each archive is scanned member by member (or record by record where it is not compressed).
 After a failed check (broken deflate data, CRC, lengths, digests, header syntax) the reader
@@ -46,7 +47,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .store import Scratch
 
-RECORDS_PER_FILE = 4000
+#: An archive holds BUNDLES_PER_FILE bundles of about BUNDLE_BYTES, so it stays small enough to be read as one value.
+BUNDLE_BYTES, BUNDLES_PER_FILE = 4 << 20, 8
 DATE = "1970-01-01T00:00:00Z"
 VERSION = b"WARC/1.1"
 MARK = b"WARC/"  # version lines are searched for by it
@@ -265,18 +267,20 @@ def salvage(content: bytes) -> Iterator[dict]:
 
 
 def _serialise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bundles of members; of the last one of each bundle the NUL at the end is left to the writer."""
+    held, size = [], 0
     for batch in batches:
-        rows, size = [], 0
         for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             member = gzip_member(build_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers))
             if member[-1]:
                 member += EMPTY_MEMBER
-            rows.append(member[:-1])
+            held.append(member)
             size += len(member)
-            if size > 16 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["member"])
-                rows, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["member"])
+            if size >= BUNDLE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["member"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["member"])
 
 
 def write_archives(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0) -> None:
@@ -289,7 +293,7 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, id_col: str =
     again = scratch.save(groups.filter((F.col("rows") > 1) & F.col("last").isNotNull() & (F.col("n") >= min_revisit_bytes)).select("sha", "last"), "again")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     members = keyed.join(again, "sha", "left").select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_serialise, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\x00").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members.select(F.col("member").cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\x00").option("maxRecordsPerFile", BUNDLES_PER_FILE).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

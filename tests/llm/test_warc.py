@@ -1,6 +1,7 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 
 from blockatlas.llm import warc
@@ -134,3 +135,16 @@ def test_payload_of_every_record_type(kind):
         (got,) = warc.salvage(pack(head + block + b"\r\n\r\n"))
         assert (got["status"], got["record_type"], got["url"], got["payload"]) == ("record", kind, "http://a /b", want)
         assert (got["payload_bytes"], got["payload_digest"]) == (len(want), warc.base32_sha1(want))
+
+
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 50_000)
+    monkeypatch.setattr(warc, "BUNDLES_PER_FILE", 2)
+    rng = random.Random(5)
+    rows = [(k, f"u{k}", rng.randbytes(9000).hex()) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "a")
+    packed = [len(b["member"][0].as_py()) for b in warc._serialise([pa.RecordBatch.from_pylist([{"page_id": i, "url": u, "html": h, "refers": None} for i, u, h in rows], pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("refers", pa.int64())]))])]
+    assert len(packed) > 5 and max(packed) < 50_000 + 20_000
+    warc.write_archives(df, path, Scratch(spark, "t"))
+    assert {r.page_id: (r.status, r.payload_bytes) for r in warc.read_archives(spark, path).collect()} == {k: ("record", len(h)) for k, _, h in rows}
