@@ -6,10 +6,13 @@ of the hash, five times twelve bits in all, which is the whole hash. A document
 left by comparing its hash with its source's threshold: nothing is sorted, and the histogram has
 at most ``2**LEVEL_BITS`` rows a source at each level.
 
+The hash is that of the id; where the boundary falls among documents of equal ids (null ids, say), the
+same refinement goes on over a hash of the text.
+
 Defined results
 * null text counts 0 words; null source is a source of its own, ordered last; null doc_id hashes
   as the empty string;
-* rows with equal hashes (repeated ids) stand or fall together, so reruns agree;
+* rows of equal id and text stand or fall together, so reruns agree;
 * a source without words has target 0 and takes nothing; an empty table gives an empty result;
 * only the columns asked for are read, so other columns may have any name.
 """
@@ -57,9 +60,9 @@ def water_fill(sizes: DataFrame, weights: Sequence[float], share: float, cap: fl
 
 
 def thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, cap: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, source, size, h) of every row, and of every source: source_size, target, whole, limit.
+    """(doc_id, source, size, h, h2) of every row, and of every source: source_size, target, whole, limit, limit2.
 
-    The mix has a document ``whole`` times, and once more if its hash is below ``limit``.
+    The mix has a document ``whole`` times, and once more if its hashes (h, h2) are below (limit, limit2).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -68,10 +71,11 @@ def thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, wei
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         hash60(F.col(id_col)).alias("h"),
+        hash60(F.col(text_col)).alias("h2"),
     )
     slim = scratch.save(slim, "slim")
     top_shift = LEVEL_BITS * (LEVELS - 1)
-    bucket = lambda level: F.shiftright("h", top_shift - LEVEL_BITS * level)
+    bucket = lambda level, h="h": F.shiftright(h, top_shift - LEVEL_BITS * level)
     hist = scratch.save(slim.groupBy("source", bucket(0).alias("b")).agg(F.sum("size").alias("n")), "level0")
     targets = water_fill(hist.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap)).cast("long")
@@ -81,23 +85,52 @@ def thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str, wei
 
     #: edge: the source's boundary bucket so far, with the words that buckets below it hold.
     w = Window.partitionBy("source").orderBy("b")
-    edge = None
-    for level in range(LEVELS):
-        if edge is None:
-            rows = hist.withColumn("base", F.lit(0).cast("long"))
-        else:
-            inner = slim.alias("s").join(edge.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")) & (bucket(level - 1) == F.col("e.edge")))
-            rows = inner.groupBy(F.col("s.source").alias("source"), bucket(level).alias("b")).agg(F.sum("s.size").alias("n"), F.first("e.base").alias("base"))
+
+    def boundary(rows: DataFrame, name: str, *held: str) -> DataFrame:
+        """From (source, b, n, base) the bucket in which each source's budget runs out."""
         run = rows.withColumn("cum", F.col("base") + F.sum("n").over(w)).alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-        over = run.filter(F.col("cum") > F.col("rest")).groupBy(F.col("r.source").alias("source")).agg(F.min(F.struct("b", "cum", "n")).alias("m"), F.first("rest").alias("rest"))
-        edge = over.select("source", F.col("m.b").alias("edge"), (F.col("m.cum") - F.col("m.n")).alias("base"), F.col("m.cum").alias("cum"), "rest")
-        edge = scratch.save(edge, f"edge{level}")
-    # All of the hash is used now: below the edge all are taken; the edge itself if that comes nearer.
-    limit = edge.select("source", F.when(F.col("cum") - F.col("rest") < F.col("rest") - F.col("base"), F.col("edge") + 1).otherwise(F.col("edge")).alias("limit"))
+        first = F.min(F.struct("b", "cum", "n")).alias("m")
+        over = run.filter(F.col("cum") > F.col("rest")).groupBy(F.col("r.source").alias("source"), *held).agg(first, F.first("rest").alias("rest"))
+        return scratch.save(over.select("source", *held, F.col("m.b").alias("edge"), (F.col("m.cum") - F.col("m.n")).alias("base"), F.col("m.cum").alias("cum"), "rest"), name)
+
+    def inside(edge: DataFrame, *conditions: Column) -> DataFrame:
+        same = F.col("s.source").eqNullSafe(F.col("e.source"))
+        for c in conditions:
+            same = same & c
+        return slim.alias("s").join(edge.alias("e"), same)
+
+    sums = (F.sum("s.size").alias("n"), F.first("e.base").alias("base"))
+    edge = boundary(hist.withColumn("base", F.lit(0).cast("long")), "edge0")
+    for level in range(1, LEVELS):
+        rows = inside(edge, bucket(level - 1) == F.col("e.edge")).groupBy(F.col("s.source").alias("source"), bucket(level).alias("b")).agg(*sums)
+        edge = boundary(rows, f"edge{level}")
+    top = 1 << (LEVEL_BITS * LEVELS)
+    # All of the first hash is used now. Where several documents share it at the boundary, the second one goes on.
+    tied = inside(edge, F.col("s.h") == F.col("e.edge")).groupBy("e.source").count().agg(F.max("count")).first()[0] or 0
+    if tied > 1:
+        edge = edge.withColumn("at", F.col("edge"))
+        for level in range(LEVELS):
+            deeper = (bucket(level - 1, "h2") == F.col("e.edge"),) if level else ()
+            rows = inside(edge, F.col("s.h") == F.col("e.at"), *deeper).groupBy(F.col("s.source").alias("source"), F.col("e.at").alias("at"), bucket(level, "h2").alias("b")).agg(*sums)
+            edge = boundary(rows, f"tied{level}", "at")
+    # Below the edge all are taken; the edge itself if that comes nearer.
+    takes = F.col("cum") - F.col("rest") < F.col("rest") - F.col("base")
+    if tied > 1:
+        limit = edge.select("source", F.col("at").alias("limit"), (F.col("edge") + takes.cast("long")).alias("limit2"))
+    else:
+        limit = edge.select("source", F.col("edge").alias("limit"), F.when(takes, F.lit(top)).otherwise(F.lit(0)).cast("long").alias("limit2"))
+    full = F.col("whole") >= cap
     plan = targets.alias("t").join(limit.alias("l"), F.col("t.source").eqNullSafe(F.col("l.source")), "left").select(
-        F.col("t.source").alias("source"), "source_size", "target", "whole", F.when(F.col("whole") >= cap, F.lit(0)).otherwise(F.coalesce("limit", F.lit(1 << (LEVEL_BITS * LEVELS)))).cast("long").alias("limit")
-    )
-    return slim, scratch.save(plan, "plan")
+        F.col("t.source").alias("source"), "source_size", "target", "whole",
+        F.when(full, F.lit(0)).otherwise(F.coalesce("limit", F.lit(top))).cast("long").alias("limit"), F.when(full, F.lit(0)).otherwise(F.coalesce("limit2", F.lit(0))).cast("long").alias("limit2"),
+    )
+    plan = scratch.save(plan, "plan")
+    scratch.keep("slim", "plan")
+    return slim, plan
+
+
+def _below(h: Column, h2: Column, limit: Column, limit2: Column) -> Column:
+    return (h < limit) | (h == limit) & (h2 < limit2)
 
 
 def mix(
@@ -115,7 +148,7 @@ def mix(
     ``size * copies``. The last hash of a source is taken or left by what comes nearer its target.
     """
     slim, plan = thresholds(docs, id_col, text_col, source_col, weights, share, cap)
-    copies = F.col("p.whole") + (F.col("s.h") < F.col("p.limit")).cast("long")
+    copies = F.col("p.whole") + _below(F.col("s.h"), F.col("s.h2"), F.col("p.limit"), F.col("p.limit2")).cast("long")
     return slim.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source"))).select(
         F.col("s.doc_id").alias("doc_id"), F.col("s.source").alias("source"), F.col("s.size").alias("size"), "source_size", "target", copies.alias("copies"), (F.col("s.size") * copies).alias("taken")
     )
@@ -136,19 +169,20 @@ def mixed(
     only the small table of sources.
     """
     _, plan = thresholds(docs, id_col, text_col, source_col, weights, share, cap)
-    own = plan.select(F.struct("source", "whole", "limit").alias("_" * (1 + max(map(len, docs.columns)))))
+    own = plan.select(F.struct("source", "whole", "limit", "limit2").alias("_" * (1 + max(map(len, docs.columns)))))
     p = own.columns[0]  # a name that no column of docs has
     wide = docs.join(own, F.col(source_col).eqNullSafe(own[p]["source"]))
-    copies = own[p]["whole"] + (hash60(F.col(id_col)) < own[p]["limit"]).cast("long")
+    copies = own[p]["whole"] + _below(hash60(F.col(id_col)), hash60(F.col(text_col)), own[p]["limit"], own[p]["limit2"]).cast("long")
     spread = wide.withColumn(p, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
     return spread.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-#: The same rows by sorting: windows over (source, hash) instead of histograms.
+#: The same rows by sorting: windows over (source, hashes) instead of histograms. k holds both hashes.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS h
+         CAST(CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) AS HUGEINT) * 1152921504606846976
+         + CAST(('0x' || substr(md5(coalesce(text, '')), 1, 15)) AS BIGINT) AS k
   FROM {documents}),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "binary") AS rk FROM s),
@@ -161,13 +195,13 @@ f AS (SELECT lev FROM l WHERE lev <= at_level ORDER BY at_level, rk LIMIT 1),
 t AS (SELECT source, source_size, coalesce(least(cap, (SELECT lev FROM f) * w), cap) AS target FROM l),
 u AS (SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 2) ELSE 0 END AS whole FROM t),
 c AS (SELECT d.*, u.source_size, u.target, u.whole, u.target - u.whole * u.source_size AS rest,
-        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum,
-        CAST(sum(size) OVER (PARTITION BY d.source, h) AS BIGINT) AS tie
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum,
+        CAST(sum(size) OVER (PARTITION BY d.source, k) AS BIGINT) AS tie
       FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
-x AS (SELECT source, min(CASE WHEN cum > rest THEN h END) AS edge FROM c GROUP BY source)
+x AS (SELECT source, min(CASE WHEN cum > rest THEN k END) AS edge FROM c GROUP BY source)
 SELECT c.doc_id, c.size, c.source_size, c.target,
-  CAST(c.size * (c.whole + CASE WHEN c.whole >= 2 THEN 0 WHEN x.edge IS NULL OR c.h < x.edge THEN 1
-    WHEN c.h = x.edge AND c.cum - c.rest < c.rest - (c.cum - c.tie) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(c.size * (c.whole + CASE WHEN c.whole >= 2 THEN 0 WHEN x.edge IS NULL OR c.k < x.edge THEN 1
+    WHEN c.k = x.edge AND c.cum - c.rest < c.rest - (c.cum - c.tie) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c JOIN x ON c.source IS NOT DISTINCT FROM x.source
 """
 
