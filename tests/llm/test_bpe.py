@@ -86,3 +86,21 @@ def test_query_on_every_document(spark, sf_dir, library):
     for r in bpe.op7_byte_bpe(spark, sf_dir).collect():
         assert r.n_tokens == len(library.encode_ordinary(texts[r.doc_id]))
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab e\n'sé中0 \tl", max_size=60), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 6), st.text(alphabet="ab \n'sé0l", max_size=5)), max_size=6))
+def test_edits_anywhere_split_as_from_the_start(encoder, text, edits):
+    t = bpe.EncodedText(encoder, text)
+    for at, n, new in edits:
+        at = min(at, len(t.text))
+        t.edit(at, min(len(t.text), at + n), new)
+        assert t.pieces == encoder.pieces(t.text) and t.starts == [m.start() for m in encoder.matches(t.text)]
+    assert t.all_ids() == encoder.encode(t.text)
+
+
+def test_tasks_forget_their_pieces(encoder):
+    encoder.joined("some words of a task")
+    assert encoder._known and encoder._held
+    encoder.forget()
+    assert not encoder._known and not encoder.vocab.follows and not encoder._held
