@@ -8,8 +8,9 @@ near-duplicate stage joins documents with decisions by id.
 Defined results
 * quality and toxicity drop documents that the classifiers reject and keep the rest, null and
   empty texts included if their score allows;
-* of near duplicates the document with the smallest id stays; of rows that repeat that id and
-  its text one stays; an id that repeats with different texts stays if any of them does; a document without five-word shingles or copies stays;
+* of near duplicates the document with the smallest id stays (among texts under that id, the one
+  whose hash is smallest; of rows that repeat id and text one), other texts under that id go; a document without words
+  or near duplicates stays;
 * mixing repeats documents up to twice (as further rows) and leaves out what targets do not need;
 * encoding returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from blockatlas.llm import bpe, jaccard, mixing, quality, toxicity
 from blockatlas.llm.arrow import id_crc
-from blockatlas.llm.store import Scratch
+from blockatlas.llm.store import Scratch, released
 from blockatlas.llm.tables import table
 
 
@@ -36,17 +37,19 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One merge join by id at every size: what is dropped grows with the corpus, so it is never broadcast."""
-    decided = jaccard.jaccard_join(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    decided = Scratch(spark, "pipeline").save(decided.filter("n > 1 OR NOT kept"), "duplicates")
-    own = decided.select(F.struct("doc_id", "kept", "n").alias("_" * (1 + max(map(len, docs.columns)))))
+    """One merge join by id and text hash at every size: what is dropped grows with the corpus, so it is never broadcast."""
+    decided = jaccard.jaccard_join(docs).groupBy("doc_id", "key").agg(F.max("chosen").alias("chosen"), F.count(F.lit(1)).alias("n"))
+    decided = Scratch(spark, "pipeline").save(decided.filter("n > 1 OR NOT chosen"), "duplicates")
+    own = decided.select(F.struct("doc_id", "key", "chosen").alias("_" * (1 + max(map(len, docs.columns)))))
     p = own.columns[0]  # a name that no column of docs has
-    found = docs.join(own.hint("merge"), docs["doc_id"].eqNullSafe(own[p]["doc_id"]), "left").filter(own[p].isNull() | own[p]["kept"])
+    same_row = (F.xxhash64(docs["text"]) == own[p]["key"]) & docs["doc_id"].eqNullSafe(own[p]["doc_id"])
+    found = docs.join(own.hint("merge"), same_row, "left").filter(own[p].isNull() | own[p]["chosen"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = found.filter(own[p].isNull()).select(*columns)
-    # Of rows that repeat an id and its text one stays.
-    again = found.filter(own[p].isNotNull()).select(*columns).dropDuplicates(["doc_id", "text"])
-    return single.unionByName(again)
+    # Of rows that repeat an id and its text one stays: the first by all their columns, written out.
+    again = found.filter(own[p].isNotNull()).select(*columns)
+    first = again.groupBy("doc_id", "text").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(p)).select(f"{p}.*")
+    return single.unionByName(first)
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,5 +77,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "run")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        with released():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
     return docs
