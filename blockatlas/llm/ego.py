@@ -5,17 +5,20 @@ projecting on orthonormal directions never lengthens a distance. Vectors are sor
 cells (width eps) along the leading principal directions and cut into blocks, consecutive
 intervals of that order. Intervals are joined recursively, sixteen to one at each level; two
 intervals whose boxes of projections are farther apart than eps hold no pair and are skipped with
-all below them. Pairs of blocks that remain go to tasks, which split them on in the same way,
-screen what is left in single precision with a margin, and decide in double precision.
+all below them. Pairs of blocks that remain go to tasks by tiles of ``TILE`` times ``TILE`` blocks, so
+that a block that is loaded meets many others. Tasks split pairs on in the same way, screen what is
+left in single precision with a margin, and decide in double precision.
 
 Equal vectors form one class first, so copies are never expanded. Tasks send back link counts and
 a spanning forest, not the pairs.
 
 Defined results
-* vectors that are null, zero, not finite or of another length than most (see ``vectors``), and
-  rows without an id, link with nothing: n_links 0, component_id their own id, kept;
+* vectors that are null, zero or hold null or non-finite components, and rows without an id, link
+  with nothing: n_links 0, component_id their own id, kept;
+* vectors link within their own length: the join runs once for each length that different vectors share;
 * n_links counts other rows, so a repeated id counts row by row;
-* a pair is decided by ``dot(a, b) / sqrt(dot(a, a) * dot(b, b)) >= threshold`` in doubles;
+* a pair is decided by ``dot(a, b) / sqrt(dot(a, a) * dot(b, b)) >= threshold`` in doubles, on
+  vectors scaled by powers of two, so that no square overflows or vanishes;
 * an empty table gives an empty result; other columns may have any name.
 """
 
@@ -27,47 +30,52 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .arrow import batch_of, schema_of
 from .components import components
 from .jaccard import _forest
-from .store import Scratch
-from .vectors import select_vectors
+from .store import Scratch, released
+from .vectors import scaled, select_vectors, shared_lengths, stack, usable
 
 THRESHOLD = 0.95
 DIRECTIONS = 8
 BLOCK_ROWS = 2048
 LEAF_ROWS = 256
 FAN = 16
-
-
-def _stack(column, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+TILE = 8  # blocks to a side of a tile of block pairs
+LEADING = 512
 
 
 def principal_directions(vectors: DataFrame, dim: int, directions: int = DIRECTIONS) -> np.ndarray:
-    """(dim, directions): leading eigenvectors of the covariance of all unit vectors."""
+    """(dim, directions): leading eigenvectors of the covariance of all unit vectors.
+
+    Of vectors longer than ``LEADING`` only so many first components are looked at, which bounds the
+    matrix; directions within those are as good a bound on distances.
+    """
     ddl = "at int, v double"
+    lead = min(dim, LEADING)
 
     def add_up(batches):
-        total = np.zeros(1 + dim + dim * dim)
+        total = np.zeros(1 + lead + lead * lead)
         for batch in batches:
-            x = _stack(batch.column(0), dim)
-            u = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            u = unit(stack(batch.column(0), dim))[:, :lead]
             total += np.concatenate([[len(u)], u.sum(0), (u.T @ u).ravel()])
         yield batch_of(schema_of(ddl), [np.arange(len(total), dtype=np.int32), total])
 
-    s = np.zeros(1 + dim + dim * dim)
+    s = np.zeros(1 + lead + lead * lead)
     for at, v in vectors.select("vec").mapInArrow(add_up, ddl).groupBy("at").agg(F.sum("v")).collect():
         s[at] = v
-    if not s[0]:
-        return np.zeros((dim, 0))
-    mean = s[1 : 1 + dim] / s[0]
-    _, directions_ = np.linalg.eigh(s[1 + dim :].reshape(dim, dim) / s[0] - np.outer(mean, mean))
-    return directions_[:, ::-1][:, : min(directions, dim)].copy()
+    mean = s[1 : 1 + lead] / s[0]
+    _, axes = np.linalg.eigh(s[1 + lead :].reshape(lead, lead) / s[0] - np.outer(mean, mean))
+    out = np.zeros((dim, min(directions, lead)))
+    out[:lead] = axes[:, ::-1][:, : min(directions, lead)]
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
 def far(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray, eps: float) -> bool:
@@ -77,9 +85,8 @@ def far(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray,
 
 
 def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, same: bool, threshold: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs of two intervals: halve the longer one until both are short or provably far."""
-    ux, uy = (z / np.sqrt(np.einsum("ij,ij->i", z, z))[:, None] for z in (x, y))
-    fx, fy = ux.astype(np.float32), uy.astype(np.float32)
+    """Linked pairs of two intervals (of scaled vectors): halve the longer one until both are short or provably far."""
+    fx, fy = unit(x).astype(np.float32), unit(y).astype(np.float32)
     todo = [(0, len(x), 0, len(y))]
     while todo:
         a, b, c, d = todo.pop()
@@ -105,13 +112,12 @@ def join_intervals(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray,
                 yield ii[ok], jj[ok]
 
 
-def block_pairs(boxes: DataFrame, scratch: Scratch, eps: float, directions: int) -> DataFrame:
+def block_pairs(boxes: DataFrame, scratch: Scratch, eps: float, directions: int, numbers: int) -> DataFrame:
     """(i, j), i <= j, of blocks not provably far, found level by level from the longest intervals."""
-    blocks = boxes.count()
     levels = [boxes]
     bound = lambda: [F.min(f"lo{d}").alias(f"lo{d}") for d in range(directions)] + [F.max(f"hi{d}").alias(f"hi{d}") for d in range(directions)]
     width = 1
-    while width < blocks:
+    while width < numbers:
         width *= FAN
         levels.append(scratch.save(boxes.groupBy(F.floor(F.col("block") / width).alias("block")).agg(*bound()), f"boxes-{len(levels)}"))
     top = levels.pop()
@@ -126,106 +132,123 @@ def block_pairs(boxes: DataFrame, scratch: Scratch, eps: float, directions: int)
     return pairs
 
 
+def links_of_length(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(cid, root, n): links between classes (cid, rows, vec) of one length, as counts and a spanning forest."""
+    scratch = Scratch(classes.sparkSession, "ego-length")
+    eps = float(np.sqrt(2 - 2 * threshold))
+    axes = principal_directions(classes, dim)
+    n = axes.shape[1]
+    cells_ddl = "cid long, rows long, vec array<double>, p array<double>, " + ", ".join(f"c{d} int" for d in range(n))
+
+    def place(batches):
+        for batch in batches:
+            p = unit(stack(batch.column(2), dim)) @ axes
+            cells = np.floor(p / max(eps, 1e-6)).astype(np.int32)
+            yield batch_of(schema_of(cells_ddl), [batch.column(0), batch.column(1), batch.column(2), list(p), *cells.T])
+
+    order = [f"c{d}" for d in range(n)] + ["cid"]
+    placed = classes.select("cid", "rows", "vec").mapInArrow(place, cells_ddl)
+    blob_ddl = "part long, seq long, ids binary, weights binary, single boolean, x binary, p binary, " + ", ".join(f"lo{d} double, hi{d} double" for d in range(n))
+
+    def cut(batches):
+        part, seq, held = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, []
+
+        def block(chunk):
+            t = pa.Table.from_batches(chunk)
+            p, x = stack(t["p"], n), scaled(stack(t["vec"], dim))
+            with np.errstate(under="ignore"):
+                short = x.astype(np.float32)
+            single = bool((short == x).all())  # nothing is lost: half the bytes
+            bounds = [v for d in range(n) for v in ([p[:, d].min()], [p[:, d].max()])]
+            return batch_of(schema_of(blob_ddl), [[part], [seq], [t["cid"].to_numpy().tobytes()], [t["rows"].to_numpy().tobytes()], [single], [(short if single else x).tobytes()], [p.tobytes()], *bounds])
+
+        size = 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                piece = batch.slice(at, BLOCK_ROWS - size)
+                held.append(piece)
+                size += piece.num_rows
+                at += piece.num_rows
+                if size == BLOCK_ROWS:
+                    yield block(held)
+                    held, size, seq = [], 0, seq + 1
+        if size:
+            yield block(held)
+
+    parts = max(1, -(-classes.count() // (8 * BLOCK_ROWS)))
+    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut_up = scratch.save(ordered.mapInArrow(cut, blob_ddl), "cut")
+    # Numbers keep the order; gaps between parts are harmless, and no window over all blocks is needed.
+    blocks, most, last = cut_up.agg(F.count(F.lit(1)), F.max("seq"), F.max("part")).first()
+    blobs = cut_up.withColumn("block", F.col("part") * (most + 1) + F.col("seq")).drop("part", "seq")
+    boxes = scratch.save(blobs.drop("ids", "weights", "single", "x", "p"), "boxes")
+    pairs = block_pairs(boxes, scratch, eps, n, (last + 1) * (most + 1))
+    # A tile of pairs loads each of its blocks once.
+    tile = max(1, min(TILE, blocks // 4))
+    up = lambda c: F.floor(F.col(c) / tile)
+    own = pairs.select(up("i").alias("ti"), up("j").alias("tj"), F.explode(F.array("i", "j")).alias("block")).distinct()
+    loaded = own.join(blobs.select("block", "ids", "weights", "single", "x", "p"), "block")
+
+    def join(table: pa.Table) -> pa.Table:
+        ti, tj = table["ti"][0].as_py(), table["tj"][0].as_py()
+        held = {}
+        for k, b in enumerate(table["block"].to_pylist()):
+            x = np.frombuffer(table["x"][k].as_py(), np.float32 if table["single"][k].as_py() else float)
+            held[b] = (*(np.frombuffer(table[c][k].as_py(), np.int64) for c in ("ids", "weights")), x.reshape(-1, dim).astype(float), np.frombuffer(table["p"][k].as_py(), float).reshape(-1, n))
+        out = []
+        for i in sorted(b for b in held if b // tile == ti):
+            for j in sorted(b for b in held if b // tile == tj and b >= i):
+                (ids, weight, x, p), (ids2, weight2, y, q) = held[i], held[j]
+                shift = 0 if i == j else len(ids)
+                if i != j:
+                    ids, weight = np.concatenate([ids, ids2]), np.concatenate([weight, weight2])
+                count, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+                for a, b in join_intervals(x, y, p, q, i == j, threshold, eps):
+                    b = b + shift
+                    count += (np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))).astype(np.int64)
+                    label = _forest(label, a, b)
+                at = np.flatnonzero(count)
+                out.append(batch_of(schema_of(_LINK_DDL), [ids[at], ids[label[at]], count[at]]))
+        return pa.Table.from_batches(out, schema_of(_LINK_DDL))
+
+    return loaded.groupBy("ti", "tj").applyInArrow(join, _LINK_DDL)
+
+
 def epsilon_join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: vec_id, n_links, component_id, kept."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     spark = df.sparkSession
     scratch = Scratch(spark, "ego")
-    vectors, dim = select_vectors(df, id_col, vec_col)
     fp_ddl = "vec_id long, cid long, fp string, vec array<double>"
 
     def mark(batches):
         for batch in batches:
-            x = _stack(batch.column(1), dim) + 0.0  # -0.0 becomes 0.0
-            fp = [xxhash.xxh3_128_hexdigest(row.tobytes()) for row in x]
-            yield batch_of(schema_of(fp_ddl), [batch.column(0), [int(f[:15], 16) for f in fp], fp, batch.column(1)])
+            vec = batch.column(1)
+            flat = vec.flatten().to_numpy(zero_copy_only=False) + 0.0  # -0.0 becomes 0.0
+            ends = np.cumsum(vec.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            fp = [xxhash.xxh3_128_hexdigest(flat[a:b].tobytes()) for a, b in zip([0, *ends], ends, strict=False)]
+            yield batch_of(schema_of(fp_ddl), [batch.column(0), [int(f[:15], 16) for f in fp], fp, vec])
 
-    marked = vectors.mapInArrow(mark, fp_ddl)
+    marked = select_vectors(df, id_col, vec_col).mapInArrow(mark, fp_ddl)
     rows = scratch.save(marked.select("vec_id", "cid", "fp"), "rows")
     classes = scratch.save(marked.groupBy("cid", "fp").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("vec").alias("vec")), "classes")
-    eps = float(np.sqrt(2 - 2 * threshold))
-    axes = principal_directions(classes, dim)
-    n = axes.shape[1]
-    cells_ddl = "cid long, rows long, vec array<double>, p array<double>, " + ", ".join(f"c{d} int" for d in range(n))
-    cells_ddl = cells_ddl.removesuffix(", ")
-
-    def place(batches):
-        for batch in batches:
-            x = _stack(batch.column(2), dim)
-            p = (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]) @ axes
-            cells = np.floor(p / max(eps, 1e-6)).astype(np.int32)
-            yield batch_of(schema_of(cells_ddl), [batch.column(0), batch.column(1), batch.column(2), list(p), *cells.T])
-
-    if not n:  # no vector takes part
-        linked = spark.createDataFrame([], _LINK_DDL)
-    else:
-        order = [f"c{d}" for d in range(n)] + ["cid"]
-        placed = classes.select("cid", "rows", "vec").mapInArrow(place, cells_ddl)
-        blob_ddl = "part long, seq long, ids binary, weights binary, x binary, p binary, " + ", ".join(f"lo{d} double, hi{d} double" for d in range(n))
-
-        def cut(batches):
-            part, seq, held = TaskContext.get().partitionId() if TaskContext.get() else 0, 0, []
-
-            def block(chunk):
-                t = pa.Table.from_batches(chunk)
-                p = _stack(t["p"], n)
-                bounds = [v for d in range(n) for v in ([p[:, d].min()], [p[:, d].max()])]
-                return batch_of(schema_of(blob_ddl), [[part], [seq], [t["cid"].to_numpy().tobytes()], [t["rows"].to_numpy().tobytes()], [_stack(t["vec"], dim).tobytes()], [p.tobytes()], *bounds])
-
-            size = 0
-            for batch in batches:
-                at = 0
-                while at < batch.num_rows:
-                    piece = batch.slice(at, BLOCK_ROWS - size)
-                    held.append(piece)
-                    size += piece.num_rows
-                    at += piece.num_rows
-                    if size == BLOCK_ROWS:
-                        yield block(held)
-                        held, size, seq = [], 0, seq + 1
-            if size:
-                yield block(held)
-
-        total = classes.count()
-        parts = max(1, -(-total // (8 * BLOCK_ROWS)))
-        ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        cut_up = scratch.save(ordered.mapInArrow(cut, blob_ddl), "cut")
-        numbers = cut_up.select("part", "seq").withColumn("block", F.row_number().over(Window.orderBy("part", "seq")) - 1)
-        blocks = scratch.save(cut_up.join(numbers, ["part", "seq"]).drop("part", "seq"), "blocks")
-        pairs = block_pairs(scratch.save(blocks.drop("ids", "weights", "x", "p"), "boxes"), scratch, eps, n)
-        own = pairs.select("i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("block"))
-        loaded = own.join(blocks.select("block", "ids", "weights", "x", "p"), "block")
-
-        def join(table: pa.Table) -> pa.Table:
-            i, j = table["i"][0].as_py(), table["j"][0].as_py()
-            got = {b: k for k, b in enumerate(table["block"].to_pylist())}
-            ids, weights, x, p = ([np.frombuffer(table[c][got[b]].as_py(), t) for b in (i, j)] for c, t in (("ids", np.int64), ("weights", np.int64), ("x", float), ("p", float)))
-            x, p = [v.reshape(-1, dim) for v in x], [v.reshape(-1, n) for v in p]
-            found = list(join_intervals(x[0], x[1], p[0], p[1], i == j, threshold, eps))
-            a, b = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            if i == j:
-                every, weight = ids[0], weights[0]
-            else:
-                every, weight, b = np.concatenate(ids), np.concatenate(weights), b + len(ids[0])
-            count = np.bincount(a, weight[b], len(every)) + np.bincount(b, weight[a], len(every))
-            at = np.flatnonzero(count)
-            label = _forest(len(every), a, b) if len(a) else np.arange(len(every))
-            return pa.Table.from_batches([batch_of(schema_of(_LINK_DDL), [every[at], every[label[at]], count[at].astype(np.int64)])])
-
-        linked = loaded.groupBy("i", "j").applyInArrow(join, _LINK_DDL)
-    linked = scratch.save(linked, "links")
+    linked = spark.createDataFrame([], _LINK_DDL)
+    with released():
+        for dim, _ in shared_lengths(classes):
+            linked = linked.unionByName(links_of_length(classes.filter(F.size("vec") == dim), dim, threshold))
+        linked = scratch.save(linked, "links")
     groups = components(linked.select(F.col("cid").alias("u"), F.col("root").alias("v")), scratch, "groups").withColumnRenamed("node", "cid")
     counts = linked.groupBy("cid").agg(F.sum("n").alias("near"))
     described = classes.select("cid", "fp", "rep", "rows").join(counts, "cid", "left").join(groups, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     described = scratch.save(described, "described")
     lowest = described.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = scratch.save(described.join(lowest, "component").select("fp", "component_id", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")), "by_class")
+    scratch.keep("rows", "by_class")
     # Rows that take no part are found by what the selection leaves over, not by a join on ids.
-    from .vectors import usable
-
     given = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    part = F.col("vec_id").isNotNull() & usable(F.col("vec")) & (F.size("vec") == dim)
+    part = F.col("vec_id").isNotNull() & usable(F.col("vec"))
     rest = given.filter(~F.coalesce(part, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = rows.join(by_class, "fp").select("vec_id", "n_links", "component_id").unionByName(rest)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

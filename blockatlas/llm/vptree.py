@@ -1,17 +1,23 @@
 """Approximate nearest neighbours by vantage-point trees, one to a shard.
 
-Every vector is indexed: shards are dealt by hash, and each shard's tree (a few arrays) is one row
-of the index table. A query goes down a tree near side first; the far side of a node is skipped
+Every vector is indexed. A small tree over a bounded sample (``TOP_ROWS`` rows of at most
+``TOP_VALUES`` numbers in all) splits space into regions, and each vector goes down it to its region; a region with more
+than ``SHARD_ROWS`` vectors is dealt to several shards by hash. Each shard's tree (a few arrays) is one
+row of the index table. A query goes down a tree near side first; the far side of a node is skipped
 when the triangle inequality puts it farther away than ``factor`` times the query's tenth best
 distance so far. Factor 1 is exact search; smaller factors skip more.
 
-Queries are dealt to (shard, query block) groups, so a task holds one tree and ``QUERY_BLOCK``
-queries whatever the number of either. Each group sends ``k`` rows a query.
+Search has two passes. In the first a query goes to one shard of its own region, which gives a
+radius: its tenth best distance there. In the second it goes to the shards that the top tree cannot rule out
+by that radius (times ``factor``), and starts there with the radius. Queries are dealt to (shard,
+query block) groups, so a task holds one tree and ``QUERY_BLOCK`` queries whatever the number of
+either. Each group sends ``k`` rows a query.
 
 Defined results
-* distances are Euclidean, in doubles, from differences of the original vectors; of equal
-  distances the smaller id is nearer; a query's own id is never a candidate;
-* vectors that are null, zero, not finite or of another length take no part (see ``vectors``);
+* distances are Euclidean, in doubles, from differences of the original vectors, scaled where squares
+  would overflow or vanish; of equal distances the smaller id is nearer; a query's own id is never a candidate;
+* vectors that are null, zero or hold null or non-finite components take no part; a query's
+  candidates are the vectors of its own length, and there is one index for each length that vectors share;
 * with fewer than k candidates all are returned; an empty table gives an empty result;
 * repeated ids are candidates row by row; other columns may have any name.
 """
@@ -22,25 +28,28 @@ import io
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .arrow import batch_of, schema_of
 from .store import Scratch
-from .vectors import select_vectors
+from .vectors import lengths_of, select_vectors, shared_lengths, stack
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 LEAF = 48
 FACTOR = 0.3
 SPLIT_LEVELS = 3
+TOP_ROWS, TOP_VALUES, TOP_LEAF = 32_768, 1 << 21, 16
+NONE = np.iinfo(np.int64).max
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     out = np.empty((len(q), len(x)))
     step = max(1, 2_000_000 // max(1, x.size))
-    for i in range(0, len(q), step):
-        d = q[i : i + step, None, :] - x[None]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(0, len(q), step):
+            d = q[i : i + step, None, :] - x[None]
+            out[i : i + step] = lengths_of(d.reshape(-1, x.shape[1])).reshape(-1, len(x))
     return out
 
 
@@ -97,19 +106,28 @@ class VpTree:
                 setattr(tree, k, z[k])
         return tree
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the ids and distances of its k nearest found (unfilled places: distance inf)."""
+    def search(self, ids: np.ndarray, q: np.ndarray, k: int, factor: float, radius: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ids and distances of its k nearest found (unfilled places: id NONE).
+
+        ``radius``: distances beyond which a query wants nothing.
+        """
+        with np.errstate(over="ignore", invalid="ignore", under="ignore"):
+            return self._search(ids, q, k, factor, np.full(len(q), np.inf) if radius is None else radius)
+
+    def _search(self, ids: np.ndarray, q: np.ndarray, k: int, factor: float, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q2, x2 = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", self.x, self.x)
-        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        best_d, best_i = np.full((len(q), k), np.inf), np.full((len(q), k), NONE)
+        limit_of = lambda who: np.minimum(best_d[who, -1], radius[who])
 
         def offer(who: np.ndarray, rows: np.ndarray, d: np.ndarray) -> None:
             cand = np.broadcast_to(self.ids[rows], d.shape)
-            d = np.where(cand == ids[who][:, None], np.inf, d)
-            some = (d <= best_d[who, -1][:, None]).any(1)
+            out = (cand == ids[who][:, None]) | (d > radius[who][:, None]) | np.isnan(d)
+            d, cand = np.where(out, np.inf, d), np.where(out, NONE, cand)
+            some = (~out & (d <= best_d[who, -1][:, None])).any(1)
             if not some.any():
                 return
             who, d, cand = who[some], d[some], cand[some]
-            all_d, all_i = np.concatenate([best_d[who], d], 1), np.concatenate([best_i[who], np.where(np.isinf(d), np.iinfo(np.int64).max, cand)], 1)
+            all_d, all_i = np.concatenate([best_d[who], d], 1), np.concatenate([best_i[who], cand], 1)
             order = np.lexsort((all_i, all_d), axis=-1)[:, :k]
             best_d[who], best_i[who] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
 
@@ -124,12 +142,12 @@ class VpTree:
                     # Screened by the product form, whose error the margin covers; what may count is computed from differences.
                     x = self.x[rows]
                     rough = q2[who][:, None] + x2[rows] - 2 * (q[who] @ x.T)
-                    limit = best_d[who, -1] ** 2
-                    i, j = np.nonzero(rough <= (limit + 1e-9 * (1 + q2[who]))[:, None] + 1e-9 * x2[rows])
+                    limit = limit_of(who) ** 2
+                    # What overflows is not a number there, and stays in.
+                    i, j = np.nonzero(~(rough > (limit + 1e-9 * (1 + q2[who]))[:, None] + 1e-9 * x2[rows]))
                     if len(i):
-                        d = np.full(rough.shape, np.inf)
-                        diff = q[who[i]] - x[j]
-                        d[i, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+                        d = np.full(rough.shape, np.nan)
+                        d[i, j] = lengths_of(q[who[i]] - x[j])
                         offer(who, rows, d)
                 return
             d = distances(q[who], self.x[v][None])[:, 0]
@@ -139,7 +157,7 @@ class VpTree:
             near_first = np.where(bound[0] == bound[1], np.abs(d - n1) <= np.abs(d - f0), bound[0] < bound[1])
 
             def go(side: int, some: np.ndarray | slice) -> None:
-                left = bound[side][some] <= factor * best_d[who[some], -1] + 1e-9 * (1 + np.abs(d[some]))
+                left = ~(bound[side][some] > factor * limit_of(who[some]) + 1e-9 * (1 + np.abs(d[some])))
                 visit(int(self.child[node][side]), who[some][left], depth + 1)
 
             if depth < SPLIT_LEVELS and 0 < near_first.sum() < len(who):
@@ -156,55 +174,155 @@ class VpTree:
         return best_i, best_d
 
 
-def _stack(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+class TopTree:
+    """Regions of space from a sample's tree: at each node, up to ``cut`` from the vantage vector is the near side."""
 
+    def __init__(self, sample: VpTree):
+        inner = sample.vantage >= 0
+        self.vantage = np.where(inner[:, None], sample.x[np.maximum(sample.vantage, 0)], 0.0)
+        self.cut, self.child, self.inner = sample.range[:, 1], sample.child, inner
 
-def build_index(vectors: DataFrame, dim: int, rows: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """From (vec_id, vec) the index table: shard, tree."""
-    ddl = "shard long, tree binary"
+    def region(self, x: np.ndarray) -> np.ndarray:
+        """The leaf that each vector falls into."""
+        out = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if not len(rows):
+                continue
+            if not self.inner[node]:
+                out[rows] = node
+                continue
+            near = distances(x[rows], self.vantage[node][None])[:, 0] <= self.cut[node]
+            todo += [(int(self.child[node][0]), rows[near]), (int(self.child[node][1]), rows[~near])]
+        return out
+
+    def reach(self, q: np.ndarray, radius: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, leaf) pairs that the triangle inequality does not rule out."""
+        found_q, found_leaf = [], []
+        todo = [(0, np.arange(len(q)))]
+        with np.errstate(invalid="ignore"):
+            while todo:
+                node, rows = todo.pop()
+                if not len(rows):
+                    continue
+                if not self.inner[node]:
+                    found_q.append(rows)
+                    found_leaf.append(np.full(len(rows), node, np.int64))
+                    continue
+                d = distances(q[rows], self.vantage[node][None])[:, 0]
+                slack = factor * radius[rows] + 1e-9 * (1 + np.abs(d))
+                gap = d - self.cut[node]
+                todo += [(int(self.child[node][0]), rows[~(gap > slack)]), (int(self.child[node][1]), rows[~(-gap > slack)])]
+        return (np.concatenate(found_q), np.concatenate(found_leaf)) if found_q else (np.zeros(0, np.int64),) * 2
+
+
+def top_tree(vectors: DataFrame, dim: int, rows: int, shard_rows: int) -> TopTree:
+    """The tree over a sample by hash; a single region if one shard holds all rows."""
+    most = max(2, min(TOP_ROWS, TOP_VALUES // dim))
+    if rows <= shard_rows:
+        return TopTree(VpTree(np.zeros(1, np.int64), np.ones((1, dim))))
+    h = F.shiftrightunsigned(F.xxhash64("vec"), 1)  # equal vectors are in the sample together
+    table = vectors.select("vec", h.alias("h")).filter(F.col("h") < min((1 << 63) - 1, int((1 << 63) * (most / rows)))).select("vec").distinct().limit(4 * most).toArrow()
+    x = stack(table["vec"], dim) if len(table) else np.ones((1, dim))
+    x = x[np.lexsort(x.T[::-1])]
+    regions = max(1, -(-rows // shard_rows))
+    return TopTree(VpTree(np.arange(len(x)), x, leaf=max(TOP_LEAF, -(-len(x) // regions))))
+
+
+def build_index(vectors: DataFrame, scratch: Scratch, dim: int, rows: int, shard_rows: int = SHARD_ROWS) -> tuple[TopTree, DataFrame, DataFrame]:
+    """From (vec_id, vec): the top tree, (region, salts), and the index table (region, salt, tree)."""
+    top = top_tree(vectors, dim, rows, shard_rows)
+    shipped = vectors.sparkSession.sparkContext.broadcast(top)
+    placed_ddl = "region long, vec_id long, vec array<double>"
+
+    def place(batches):
+        for batch in batches:
+            yield batch_of(schema_of(placed_ddl), [shipped.value.region(stack(batch.column(1), dim)), batch.column(0), batch.column(1)])
+
+    placed = scratch.save(vectors.select("vec_id", "vec").mapInArrow(place, placed_ddl), f"placed-{dim}")
+    sizes = scratch.save(placed.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("salts")), f"regions-{dim}")
+    ddl = "region long, salt long, tree binary"
 
     def build(table: pa.Table) -> pa.Table:
-        ids = table["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        tree = VpTree(ids[order], _stack(table["vec"], dim)[order])
-        return pa.Table.from_batches([batch_of(schema_of(ddl), [[table["shard"][0].as_py()], [tree.dump()]])])
+        ids, x = table["vec_id"].to_numpy(), stack(table["vec"], dim)
+        order = np.lexsort((*x.T[::-1], ids)) if len(np.unique(ids)) < len(ids) else np.argsort(ids)
+        tree = VpTree(ids[order], x[order])
+        return pa.Table.from_batches([batch_of(schema_of(ddl), [[table["region"][0].as_py()], [table["salt"][0].as_py()], [tree.dump()]])])
 
-    shards = max(1, -(-rows // shard_rows))
-    return vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards))).groupBy("shard").applyInArrow(build, ddl)
+    # A region of many rows (of one common vector, say) is several shards. There are at most
+    # 2 * TOP_ROWS / TOP_LEAF regions, so their sizes can be broadcast whatever the input.
+    dealt = placed.join(F.broadcast(sizes), "region").withColumn("salt", F.pmod(F.xxhash64("vec_id", "vec"), F.col("salts")))
+    index = scratch.save(dealt.groupBy("region", "salt").applyInArrow(build, ddl), f"index-{dim}")
+    scratch.drop(f"placed-{dim}")
+    return top, sizes, index
 
 
-def search(index: DataFrame, queries: DataFrame, dim: int, shards: int, query_rows: int, k: int = 10, factor: float = FACTOR, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score for (query_id, vec) rows."""
-    blocks = max(1, -(-query_rows // query_block))
-    ddl = "query_id long, vec_id long, score double"
-    trees = index.select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+_FOUND_DDL = "query_id long, qrow long, vec_id long, score double"
+
+
+def search_shards(index: DataFrame, asked: DataFrame, dim: int, k: int, factor: float) -> DataFrame:
+    """The k nearest of each shard for (region, salt, block, query_id, qrow, vec, radius) rows."""
+    needed = asked.select(*[F.col(c).alias(c) for c in ("region", "salt", "block")]).distinct()
+    trees = index.join(needed, ["region", "salt"])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return schema_of(ddl).empty_table()
+            return schema_of(_FOUND_DDL).empty_table()
         tree = VpTree.load(left["tree"][0].as_py())
-        qid, q = right["query_id"].to_numpy(), _stack(right["vec"], dim)
-        ids, d = tree.search(qid, q, k, factor)
-        ok = np.isfinite(d)
-        return pa.Table.from_batches([batch_of(schema_of(ddl), [np.repeat(qid, ok.sum(1)), ids[ok], d[ok]])])
+        qid, qrow, q = right["query_id"].to_numpy(), right["qrow"].to_numpy(), stack(right["vec"], dim)
+        ids, d = tree.search(qid, q, k, factor, right["radius"].to_numpy())
+        ok = ids != NONE
+        return pa.Table.from_batches([batch_of(schema_of(_FOUND_DDL), [np.repeat(qid, ok.sum(1)), np.repeat(qrow, ok.sum(1)), ids[ok], d[ok]])])
+
+    by = ["region", "salt", "block"]
+    return trees.select(*by, "tree").groupBy(*by).cogroup(asked.select(*by, "query_id", "qrow", "vec", "radius").groupBy(*by)).applyInArrow(run, _FOUND_DDL)
 
-    found = trees.groupBy("shard", "block").cogroup(asked.select("shard", "block", "query_id", "vec").groupBy("shard", "block")).applyInArrow(run, ddl)
-    from pyspark.sql import Window
 
+def search(top: TopTree, sizes: DataFrame, index: DataFrame, queries: DataFrame, scratch: Scratch, dim: int, query_rows: int, k: int = 10, factor: float = FACTOR, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score for (query_id, vec) rows."""
+    blocks = max(1, -(-query_rows // query_block))
+    shipped = queries.sparkSession.sparkContext.broadcast(top)
+    ddl = "query_id long, vec array<double>, radius double, region long, home boolean"
+
+    def route(batches):
+        for batch in batches:
+            q = stack(batch.column(1), dim)
+            radius = batch.column(2).to_numpy(zero_copy_only=False)
+            home = shipped.value.region(q)
+            at, leaf = shipped.value.reach(q, radius, factor)
+            at, leaf = np.concatenate([np.arange(len(q)), at]), np.concatenate([home, leaf])
+            first = np.arange(len(at)) < len(q)
+            keep = first | (leaf != home[at])
+            rows = pa.array(at[keep])
+            yield batch_of(schema_of(ddl), [batch.column(0).take(rows), batch.column(1).take(rows), radius[at[keep]], leaf[keep], first[keep]])
+
+    # Different vectors under one id are queries of their own until the end.
+    given = queries.select("query_id", "vec").dropDuplicates(["query_id", "vec"]).withColumn("qrow", F.xxhash64("vec")).withColumn("block", F.pmod(F.xxhash64("query_id", "qrow"), F.lit(blocks)))
+    routed = lambda rows: rows.select("query_id", "vec", "radius").mapInArrow(route, ddl).withColumn("qrow", F.xxhash64("vec")).withColumn("block", F.pmod(F.xxhash64("query_id", "qrow"), F.lit(blocks)))
+    own_salt = F.pmod(F.xxhash64("query_id", "qrow", F.lit(1)), F.col("salts"))
+    first = routed(given.withColumn("radius", F.lit(0.0))).filter("home").join(F.broadcast(sizes), "region").withColumn("salt", own_salt).withColumn("radius", F.lit(float("inf")))
+    found = scratch.save(search_shards(index, first, dim, k, factor), f"first-{dim}")
+    reached = found.groupBy("query_id", "qrow").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("far"))
+    asked = given.join(reached, ["query_id", "qrow"], "left").select("query_id", "vec", F.when(F.col("n") >= k, F.col("far")).otherwise(float("inf")).alias("radius"))
+    spread = routed(asked).join(F.broadcast(sizes), "region").withColumn("own", own_salt)
+    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).filter(~(F.col("home") & (F.col("salt") == F.col("own"))))
+    every = found.unionByName(search_shards(index, spread, dim, k, factor))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = FACTOR) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The k nearest other rows of every row for which ``is_query`` (a condition on ``vec_id``) holds."""
     scratch = Scratch(df.sparkSession, "vptree")
-    vectors, dim = select_vectors(df, id_col, vec_col)
-    rows, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    index = scratch.save(build_index(vectors, dim, rows), "index")
-    queries = vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    return search(index, queries, dim, max(1, -(-rows // SHARD_ROWS)), asked, k, factor)
+    vectors = select_vectors(df, id_col, vec_col)
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim, rows in shared_lengths(vectors):
+        own = vectors.filter(F.size("vec") == dim)
+        top, sizes, index = build_index(own, scratch, dim, rows, shard_rows)
+        queries = own.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
+        out = out.unionByName(search(top, sizes, index, queries, scratch, dim, queries.count(), k, factor))
+    return out
 
 
 def op8_vptree_search(spark, sf_dir: str) -> DataFrame:
