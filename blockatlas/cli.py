@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import os
 import sys
 
@@ -44,7 +45,7 @@ def extract(spark, paths: list[str], partitions: list[str], out: str) -> list[st
     written = []
     for p in found:
         segments = diskimage.load(spark, paths, "segments", [p.name]).filter(F.col("container") == p.container)
-        size = diskimage.device(p)[0]
+        size = diskimage.size_of(p)
         if size is None:
             size = segments.agg(F.max("end_byte")).first()[0] or 0
         name = f"{p.container}.{p.name}.img" if many else f"{p.name}.img"
@@ -79,14 +80,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             for p in discover(a.input, a.partitions):
                 size, _, read = diskimage.device(p)
-                if read is None:
-                    raise ValueError(f"{p.name} is compressed; extract it first")
-                data = read(a.start, (a.stop if a.stop is not None else size) - a.start)
-                if a.output:
-                    with open(a.output, "wb") as f:
+                stop = min(x for x in (a.stop, size, 1 << 62) if x is not None)
+                with open(a.output, "wb") if a.output else contextlib.nullcontext(sys.stdout.buffer) as f:
+                    at = a.start
+                    while at < stop and (data := read(at, min(1 << 22, stop - at))):
                         f.write(data)
-                else:
-                    sys.stdout.buffer.write(data)
+                        at += len(data)
     except ValueError as e:
         print(e, file=sys.stderr)
         return EXIT_USAGE

@@ -26,7 +26,7 @@ class Layout:
 def rank(df: DataFrame, order: str, flag: Column, stride: int = STRIDE) -> DataFrame:
     """(block, is_populated, used)."""
     d = df.select(F.col(order).cast("long").alias("block"), F.coalesce(flag, F.lit(False)).alias("is_populated"))
-    return prefix_count(d, "block", F.col("is_populated").cast("int"), "used", stride)
+    return prefix_count(d, "block", F.col("is_populated").cast("int"), "used", stride, dense=True)
 
 
 def strips(layout: Layout) -> Column:

@@ -1,24 +1,46 @@
 """Ordered computations over a whole table without a single-partition window.
 
-Rows are cut into strides of a numeric order key. Each stride is reduced to a few numbers, a
-window runs over those only (one row a stride), and the rest is a window inside each stride. The
-row data is shuffled once, by stride, and never meets in one partition.
+Rows are cut into strides, intervals of a numeric order key. Each stride is reduced to a few
+numbers, a window runs over those only (one row a stride), and the rest is a window inside each
+stride. The row data is shuffled once, by stride, and never meets in one partition.
+
+Strides of dense keys (``dense``, or found so from their least, greatest and number) are intervals of
+equal width. Of sparse keys, say times or hashes, equal intervals could hold one row each, or all of
+them; their strides are cut at approximate quantiles, at most ``MOST`` of them.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 STRIDE = 16_384
+MOST = 4096
+SPARSE = 4  # keys with fewer rows than one in so many numbers are cut at quantiles
+
+
+def with_stride(df: DataFrame, order: str, stride: int, dense: bool = False) -> DataFrame:
+    """``df`` with the number of the stride, ascending with ``order``, as ``_seg``."""
+    if not dense:
+        least, greatest, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+        if n and greatest - least >= SPARSE * max(n, stride):
+            parts = min(MOST, -(-n // stride))
+            found = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 20_000)).first()[0] if parts > 1 else []
+            bounds = np.unique(np.array(found, dtype=np.float64 if isinstance(least, float) else np.int64))
+
+            @F.pandas_udf("long")
+            def place(keys):
+                import pandas as pd
 
+                return pd.Series(np.searchsorted(bounds, keys.to_numpy(), side="left"))
 
-def with_stride(df: DataFrame, order: str, stride: int) -> DataFrame:
+            return df.withColumn("_seg", place(F.col(order)) if len(bounds) else F.lit(0).cast("long"))
     return df.withColumn("_seg", F.floor(F.col(order) / F.lit(stride)).cast("long"))
 
 
-def prefix_count(df: DataFrame, order: str, value: Column, out: str, stride: int = STRIDE) -> DataFrame:
+def prefix_count(df: DataFrame, order: str, value: Column, out: str, stride: int = STRIDE, dense: bool = False) -> DataFrame:
     """``out``: sum of ``value`` over all rows strictly before, in the order of ``order`` (unique)."""
-    d = with_stride(df.withColumn("_v", value.cast("long")), order, stride)
+    d = with_stride(df.withColumn("_v", value.cast("long")), order, stride, dense)
     before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     base = d.groupBy("_seg").agg(F.sum("_v").alias("_n")).select("_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
     inside = Window.partitionBy("_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -26,9 +48,9 @@ def prefix_count(df: DataFrame, order: str, value: Column, out: str, stride: int
     return local.join(base, "_seg").withColumn(out, F.col("_base") + F.col("_local")).drop("_seg", "_v", "_base", "_local")
 
 
-def neighbours(df: DataFrame, order: str, columns: dict[str, str], stride: int = STRIDE) -> DataFrame:
+def neighbours(df: DataFrame, order: str, columns: dict[str, str], stride: int = STRIDE, dense: bool = False) -> DataFrame:
     """Values of the row before and after: for ``{"x": "p"}`` adds ``prev_p`` and ``next_p`` of column x."""
-    d = with_stride(df, order, stride)
+    d = with_stride(df, order, stride, dense)
     inside, over = Window.partitionBy("_seg").orderBy(order), Window.orderBy("_seg")
     packed = F.struct(*[F.col(c).alias(c) for c in columns])
     edge = d.groupBy("_seg").agg(F.min_by(packed, order).alias("_first"), F.max_by(packed, order).alias("_last"))
@@ -41,9 +63,9 @@ def neighbours(df: DataFrame, order: str, columns: dict[str, str], stride: int =
     return d.drop("_seg", "_p", "_n", "_before", "_after")
 
 
-def running_max(df: DataFrame, order: str, value: Column, out: str, stride: int = STRIDE) -> DataFrame:
+def running_max(df: DataFrame, order: str, value: Column, out: str, stride: int = STRIDE, dense: bool = False) -> DataFrame:
     """``out``: greatest ``value`` up to and with the row (nulls ignored)."""
-    d = with_stride(df.withColumn("_v", value), order, stride)
+    d = with_stride(df.withColumn("_v", value), order, stride, dense)
     before = Window.orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     base = d.groupBy("_seg").agg(F.max("_v").alias("_m")).select("_seg", F.max("_m").over(before).alias("_base"))
     inside = Window.partitionBy("_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -61,9 +83,9 @@ def consecutive_leader(df: DataFrame, order: str, value: str, out: str = "leader
     return d.drop("_new", "prev__value", "next__value", "prev__order", "next__order")
 
 
-def row_number(df: DataFrame, order: str, out: str, stride: int = STRIDE) -> DataFrame:
+def row_number(df: DataFrame, order: str, out: str, stride: int = STRIDE, dense: bool = False) -> DataFrame:
     """Rows before, in the order of ``order``: a global row number from 0."""
-    return prefix_count(df, order, F.lit(1), out, stride)
+    return prefix_count(df, order, F.lit(1), out, stride, dense)
 
 
 def chunk_by(df: DataFrame, order: str, size: int, out: str = "chunk") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import image_queries
 from .functions import scalar
 from .operators import bitmap, dedup, group, ordered, pattern, ranges, tree
 
@@ -376,10 +377,16 @@ def q43_pretty_span(spark, sf_dir):
     return d.select("doc_id", scalar.pretty_span(F.col("s")).alias("span"))
 
 
-@query("SELECT o_orderkey AS block FROM orders WHERE o_orderkey > (SELECT coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), -1) FROM orders)")
+#: Populated blocks end before the last tenth of the table, so that there is an empty tail.
+_TAIL = "o_orderstatus = 'F' AND o_orderkey < (SELECT max(o_orderkey) FROM orders) * 0.9"
+
+
+@query(f"SELECT o_orderkey AS block FROM orders WHERE o_orderkey > (SELECT coalesce(max(o_orderkey) FILTER ({_TAIL}), -1) FROM orders)")
 def q44_trailing_null_blocks(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    top = bitmap.highest_populated(o, "o_orderkey", F.col("o_orderstatus") == "F").select("highest")
+    end = o.agg((F.max("o_orderkey") * F.lit(0.9)).alias("_end"))
+    o = o.join(F.broadcast(end))
+    top = bitmap.highest_populated(o, "o_orderkey", (F.col("o_orderstatus") == "F") & (F.col("o_orderkey") < F.col("_end"))).select("highest")
     return o.join(F.broadcast(top), F.col("o_orderkey") > F.col("highest")).select(F.col("o_orderkey").alias("block"))
 
 
@@ -388,3 +395,7 @@ def q45_path_lookup(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("page_id").alias("idx"))
     wanted = p.select(F.lower("path").alias("path")).distinct()
     return tree.lookup(p, wanted).select("wanted", "path", "idx")
+
+
+QUERIES |= image_queries.QUERIES
+ORACLES |= image_queries.ORACLES

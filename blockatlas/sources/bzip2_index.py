@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import bz2
 import hashlib
+import io
 from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK = 0x314159265359
 FINAL = 0x177245385090
+WINDOW = 4 << 20
 
 
 def find_marks(data: bytes, mark: int = BLOCK) -> list[int]:
@@ -56,20 +58,70 @@ def decode_block(data: bytes, start: int, stop: int) -> bytes:
 
 
 def build_index(data: bytes) -> list[dict]:
-    """One row a block: bit range, unpacked range, leader (first block of a run of equal ones).
+    """One row a block: bit range, unpacked range, leader (first block of a run of equal ones)."""
+    return list(stream_index(io.BytesIO(data)))
+
+
+def _marks(f, window: int = WINDOW) -> Iterator[tuple[int, bool]]:
+    """(bit offset, whether it begins a block) of the marks of both kinds in a file, in order, a window at a time."""
+    at, tail, seen = 0, b"", -1
+    f.seek(0)
+    while chunk := f.read(window):
+        data = tail + chunk
+        base = (at - len(tail)) * 8
+        found = [(base + k, True) for k in find_marks(data)] + [(base + k, False) for k in find_marks(data, FINAL)]
+        for k, begins in sorted(found):
+            if k > seen:
+                yield k, begins
+                seen = k
+        at, tail = at + len(chunk), data[-7:]
+
+
+def stream_index(f, trailing_nulls: int = 0) -> Iterator[dict]:
+    """The index of a file, holding a window and a block of it.
 
     Only leaders are unpacked; the last block always is, as it may be shorter than it looks.
+    ``trailing_nulls``: if over 0, the length of the last block counts at most so many zero bytes at its
+    end, which is how images are cut whose writer has filled up the device behind its data.
     """
-    out, at, leader, last_hash, length = [], 0, 0, None, 0
-    bounds = block_bounds(data)
-    for k, (start, stop) in enumerate(bounds):
-        digest = hashlib.md5(f"{stop - start}:{read_bits(data, start, stop - start):x}".encode()).digest()
-        if digest != last_hash or k == len(bounds) - 1:
-            leader, length = k, len(decode_block(data, start, stop))
+    size = f.seek(0, 2)
+    at, leader, last_hash, length, no = 0, 0, None, 0, 0
+    pending = None
+    marks = _marks(f)
+
+    def block(start: int, stop: int, last: bool) -> dict:
+        nonlocal at, leader, last_hash, length, no
+        a = start // 8
+        f.seek(a)
+        data = f.read(-(-stop // 8) - a)
+        bits = read_bits(data, start - 8 * a, stop - start)
+        digest = hashlib.md5(f"{stop - start}:{bits:x}".encode()).digest()
+        if digest != last_hash or last:
+            out = decode_block(data, start - 8 * a, stop - 8 * a)
+            leader, length = no, len(out)
+            if last and trailing_nulls:
+                length = min(length, len(out.rstrip(b"\0")) + trailing_nulls)
         last_hash = digest
-        out.append({"block_no": k, "c_start_byte": start // 8, "c_start_bit": start % 8, "c_end_byte": stop // 8, "c_end_bit": stop % 8, "u_start": at, "u_end": at + length, "leader": leader})
-        at += length
-    return out
+        row = {"block_no": no, "c_start_byte": start // 8, "c_start_bit": start % 8, "c_end_byte": stop // 8, "c_end_bit": stop % 8, "u_start": at, "u_end": at + length, "leader": leader}
+        at, no = at + length, no + 1
+        return row
+
+    begun = None
+    place = 0
+    for k, begins in marks:
+        place = f.tell()
+        if begun is not None:
+            if pending is not None:
+                yield block(*pending, False)
+            pending = begun, k
+        begun = k if begins else None
+        f.seek(place)
+    if begun is not None:
+        if pending is not None:
+            yield block(*pending, False)
+        pending = begun, size * 8
+    if pending is not None:
+        yield block(*pending, True)
 
 
 def read_range(data: bytes, index: list[dict], position: int, count: int) -> bytes:

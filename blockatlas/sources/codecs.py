@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bz2
+import gzip
 import io
 import lzma
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -119,6 +121,46 @@ def decompress(f: BinaryIO, codec: str) -> Iterator[bytes]:
         raise ValueError(f"unknown codec {codec!r}")
 
 
+def _lzip_member(data: bytes) -> bytes:
+    filters = [{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 20, "lc": 3, "lp": 0, "pb": 2}]
+    raw = lzma.compress(data, lzma.FORMAT_ALONE, filters=filters)[13:]
+    return b"LZIP\1\x14" + raw + struct.pack("<IQQ", zlib.crc32(data), len(data), len(raw) + 26)
+
+
+def compress_file(source: str, target: str, codec: str, piece: int = 4 << 20) -> None:
+    """Pack a file. Where the codec has members, frames or streams, each holds ``piece`` bytes, so that reading can begin at any."""
+    if codec in ("bzip2", "none", "lz4"):
+        with open(source, "rb") as f, open(target, "wb") as out:
+            if codec == "lz4":
+                import pyarrow as pa
+
+                packer = pa.CompressedOutputStream(pa.PythonFile(out, "w"), "lz4")
+            packer = bz2.BZ2Compressor() if codec == "bzip2" else packer if codec == "lz4" else None
+            while data := f.read(piece):
+                if codec == "lz4":
+                    packer.write(data)
+                else:
+                    out.write(packer.compress(data) if packer else data)
+            if codec == "bzip2":
+                out.write(packer.flush())
+            elif codec == "lz4":
+                packer.close()
+        return
+    if codec == "zstd":
+        import zstandard
+
+        pack = zstandard.ZstdCompressor().compress
+    elif codec in ("gzip", "xz", "lzip"):
+        pack = {"gzip": lambda d: gzip.compress(d, 6, mtime=0), "xz": lzma.compress, "lzip": _lzip_member}[codec]
+    else:
+        raise ValueError(f"unknown codec {codec!r}")
+    with open(source, "rb") as f, open(target, "wb") as out:
+        empty = True
+        while (data := f.read(piece)) or empty:
+            out.write(pack(data))
+            empty = False
+
+
 class ChunkReader(io.RawIOBase):
     """A forward-only file over chunks; seeking ahead reads and drops."""
 

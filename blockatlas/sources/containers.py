@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import os
 import re
+import struct
 from dataclasses import dataclass, field
 
-from . import partclone, partition_table
+from . import partclone, partition_table, seekable
 from .codecs import ChunkReader, Volumes, codec_of_content, codec_of_name, decompress
 
 MARKER = "clonezilla-img"
@@ -16,7 +18,10 @@ VOLUME = re.compile(r"-ptcl-img")
 
 @dataclass
 class Partition:
-    """kind: partclone, raw (a slice of an image) or dd; layers: codecs to unpack, outermost first."""
+    """kind: partclone, raw (a slice of an image) or dd; layers: codecs to unpack, outermost first.
+
+    index: the chunks of the only layer (see ``seekable``), where they are known.
+    """
 
     container: str
     name: str
@@ -26,6 +31,7 @@ class Partition:
     offset: int = 0
     length: int | None = None
     declared_size: int | None = None
+    index: list[dict] | None = None
 
     def open(self):
         """A stream of the image file itself (not yet mapped by its bitmap), at its start."""
@@ -34,9 +40,29 @@ class Partition:
             f = ChunkReader(decompress(f, codec))
         return f
 
+    def open_random(self):
+        """The same as a file that can be read anywhere: by chunks where there is an index, else by going back to the start."""
+        if not self.layers:
+            return Volumes(self.volumes)
+        if self.index:
+            return seekable.Blocked(Volumes(self.volumes), self.layers[0], self.index)
+        return seekable.Rewind(self.open)
+
+    def find_index(self, known: list[dict] | None = None) -> None:
+        """Take over the chunks that are known, or find them where that needs no unpacking; one chunk is no index."""
+        if len(self.layers) != 1:
+            return
+        if known is None and self.layers[0] in seekable.CHEAP:
+            try:
+                known = list(seekable.build_index(Volumes(self.volumes), self.layers[0]))
+            except (ValueError, LookupError, struct.error):
+                known = None  # broken or unusual: reading it will tell
+        if known and len(known) > 1:
+            self.index = known
+
     @property
     def seekable(self) -> bool:
-        return not self.layers
+        return not self.layers or self.index is not None
 
 
 def _sizes(folder: str, drive: str) -> dict[str, int]:
@@ -87,33 +113,16 @@ def unwrap(path: str, most_layers: int = 8) -> tuple[list[str], bytes]:
         layers.append(codec)
 
 
-class _Window:
-    """Random reads over the first bytes of a forward-only stream, for partition tables."""
-
-    def __init__(self, head: bytes):
-        self.head, self.at = head, 0
-
-    def seek(self, at: int) -> None:
-        self.at = at
-
-    def read(self, n: int) -> bytes:
-        return self.head[self.at : self.at + n]
-
-
 def _image_file(path: str, wanted: list[str]) -> list[Partition]:
     container = os.path.basename(path)
     layers, head = unwrap(path)
     keep = lambda name: not wanted or name in wanted
     if partclone.is_partclone(head):
         return [Partition(container, "partition0", "partclone", [path], layers)] if keep("partition0") else []
-    if layers:
-        f = Volumes([path])
-        for codec in layers:
-            f = ChunkReader(decompress(f, codec))
-        found = partition_table.partitions(_Window(f.read(1 << 20)))
-    else:
-        with open(path, "rb") as f:
-            found = partition_table.partitions(f)
+    whole = Partition(container, "", "raw", [path], layers)
+    whole.find_index()
+    # A table is read wherever it leads: the entries of logical partitions lie all over the drive.
+    found = partition_table.partitions(io.BufferedReader(whole.open_random()))
     if not found:
         return [Partition(container, "partition0", "raw", [path], layers)] if keep("partition0") else []
     return [Partition(container, name, "raw", [path], layers, offset, length) for name, offset, length in found if keep(name)]

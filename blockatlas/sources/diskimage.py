@@ -4,14 +4,18 @@
 containers, partitions, volumes, headers, bitmap_strides, extents, block_index, segments, files.
 
 A filter on ``partition`` (equality or IN) is pushed down and prunes before any image is opened.
-Planning reads names and headers only. Segments of an image that is not compressed are read in
-spans, one task each; a compressed image is unpacked by one task from its start, since its codecs
-cannot be entered in the middle (bzip2 can: see ``bzip2_index``). Paths are those that executors
-can open.
+Planning reads names, headers and cheap indexes; for segments it also goes through bitmaps once, in
+bounded parts. Segments of an image that can be entered in the middle are read in spans, one task
+each, which are told their part of the bitmap and of the index: images that are not compressed,
+xz, lzip and zstd of several blocks, members or frames, and bzip2 and gzip whose index was kept by
+``sinks.store_tables`` and is named by the option ``index``. Any other image is unpacked by one task
+from its start. No task holds a device. Paths are those that executors can open.
 """
 
 from __future__ import annotations
 
+import bisect
+import dataclasses
 import io
 import os
 from collections.abc import Iterator, Sequence
@@ -19,15 +23,17 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
-from . import partclone
-from .bzip2_index import build_index
+from . import lvm, partclone
 from .codecs import ChunkReader, Volumes
 from .containers import Partition, discover
 from .ext import ExtVolume
 from .fat import FatVolume
+from .ntfs import NtfsVolume
+from .seekable import build_index
 
 SPAN = 32 << 20
 SEGMENT = 4 << 20
+INDEXED = ("bzip2", "gzip", "xz", "zstd", "lzip")
 
 SCHEMAS = {
     "containers": "container string, kind string, path string",
@@ -37,7 +43,7 @@ SCHEMAS = {
     "used_blocks long, used_bitmap_blocks long, block_size long, checksum_mode string, checksum_size int, blocks_per_checksum long, reseed int, bitmap_mode string, start_of_content long",
     "bitmap_strides": "container string, partition string, stride_no long, base_rank long, words array<bigint>",
     "extents": "container string, partition string, out_start long, out_end long, is_populated boolean, content_start long",
-    "block_index": "container string, partition string, block_no long, c_start_byte long, c_start_bit int, c_end_byte long, c_end_bit int, u_start long, u_end long, leader long",
+    "block_index": "container string, partition string, block_no long, c_start_byte long, c_start_bit int, c_end_byte long, c_end_bit int, u_start long, u_end long, leader long, codec string, extra binary",
     "segments": "container string, partition string, start_byte long, end_byte long, payload binary",
     "files": "container string, partition string, idx long, path string, raw_path string, is_folder boolean, size long, modified timestamp, created timestamp, accessed timestamp, offset long",
 }
@@ -45,7 +51,7 @@ SCHEMAS = {
 
 def open_volume(f):
     """The filesystem of a seekable stream; None where it is not known."""
-    for kind in (ExtVolume, FatVolume):
+    for kind in (NtfsVolume, ExtVolume, FatVolume):
         try:
             return kind(f)
         except ValueError:
@@ -53,33 +59,118 @@ def open_volume(f):
     return None
 
 
+def volumes_of(opener) -> Iterator[tuple[str, object]]:
+    """(prefix, filesystem) of a device: itself, or the logical volumes of an LVM physical volume by name."""
+    volume = open_volume(opener())
+    if volume is not None:
+        yield "", volume
+        return
+    for name, f in lvm.logical_volumes(opener()):
+        if (volume := open_volume(f)) is not None:
+            yield name, volume
+
+
 class Piece(InputPartition):
-    def __init__(self, partition: Partition, start: int = 0, stop: int | None = None):
+    """A task's part: a partition, or the bytes start to stop of its device, before which ``rank`` blocks are populated."""
+
+    def __init__(self, partition: Partition, start: int = 0, stop: int | None = None, header: partclone.Header | None = None, rank: int = 0):
         super().__init__(None)
-        self.partition, self.start, self.stop = partition, start, stop
+        self.partition, self.start, self.stop, self.header, self.rank = partition, start, stop, header, rank
 
 
-def device(p: Partition):
-    """(size or None, header or None, read(position, count)) of the partition's device."""
-    f = p.open()
+def _exactly(f, at: int, n: int) -> bytes:
+    f.seek(at)
+    data = b""
+    while len(data) < n and (more := f.read(n - len(data))):
+        data += more
+    return data.ljust(n, b"\0")  # a slice reaches past a short image: zeros
+
+
+def raw_size(p: Partition, f) -> int | None:
+    """Bytes of a raw partition's device; None if only unpacking it all would tell."""
+    return p.length if p.length is not None else f.size if p.seekable else None
+
+
+def size_of(p: Partition) -> int | None:
+    """Bytes of a partition's device, from its header; None as above."""
     if p.kind == "partclone":
-        header = partclone.read_header(f)
-        bitmap = partclone.read_bitmap(f, header)
-        if p.seekable:
-            content = partclone.ContentMap(header, bitmap)
-            return header.device_size, header, lambda at, n: content.read(f, at, n)
-        return header.device_size, header, None
-    size = p.length if p.length is not None else (f.size if p.seekable else None)
+        return partclone.read_header(p.open()).device_size
+    p.find_index(p.index)
+    return raw_size(p, p.open_random())
 
-    def read(at: int, n: int) -> bytes:
-        n = max(0, min(n, size - at))
-        f.seek(p.offset + at)
-        data = b""
-        while len(data) < n and (more := f.read(n - len(data))):
-            data += more
-        return data.ljust(n, b"\0")  # a slice reaches past a short image: zeros
 
-    return size, None, read if p.seekable else None
+def device(p: Partition):
+    """(size or None, header or None, read(position, count)) of the partition's device, for reads anywhere."""
+    f = p.open_random()
+    if p.kind == "partclone":
+        header = partclone.read_header(f)
+        content = partclone.ContentMap(header, partclone.read_bitmap(f, header))
+        return header.device_size, header, lambda at, n: content.read(f, at, n)
+    size = raw_size(p, f)
+    if size is None:  # clamped to the stream's end as it is met
+
+        def some(at: int, n: int) -> bytes:
+            f.seek(p.offset + at)
+            data = b""
+            while len(data) < n and (more := f.read(n - len(data))):
+                data += more
+            return data
+
+        return None, None, some
+    return size, None, lambda at, n: _exactly(f, p.offset + at, max(0, min(n, size - at)))
+
+
+def spans(p: Partition) -> Iterator[Piece]:
+    """The parts in which tasks read a seekable partition, each with what it needs of bitmap and index."""
+    f = p.open_random()
+    if p.kind != "partclone":
+        size = raw_size(p, f)
+        for a in range(0, size, SPAN):
+            b = min(a + SPAN, size)
+            yield Piece(_part(p, [(p.offset + a, p.offset + b)]), a, b)
+        return
+    h = partclone.read_header(f)
+    # A span begins at a block whose number is a multiple of 64, so that its bits begin at a whole byte.
+    step = max(64, SPAN // h.block_size // 64 * 64)
+    counts = partclone.ranks(f, h, step)
+    for k, a in enumerate(range(0, h.total_blocks, step)):
+        b = min(a + step, h.total_blocks)
+        if a * h.block_size >= h.device_size:
+            break
+        used, after = counts[k], counts[k + 1] if k + 1 < len(counts) else h.used_blocks
+        if used == after and k + 1 < len(counts):
+            continue  # nothing but zeros
+        bits = (h.bitmap_start + a // 8, h.bitmap_start + -(-b // 8)) if h.bitmap_mode == "BIT" else (h.bitmap_start + a, h.bitmap_start + b)
+        content = (partclone.content_start(h, used), partclone.content_start(h, used + b - a) + h.block_size)
+        yield Piece(_part(p, [bits, content]), a * h.block_size, min(b * h.block_size, h.device_size), h, used)
+
+
+def _part(p: Partition, ranges: list[tuple[int, int]]) -> Partition:
+    """The partition with the chunks that overlap these unpacked bytes (and the leaders of those)."""
+    if not p.index:
+        return p
+    starts = [r["u_start"] for r in p.index]
+    wanted = set()
+    for a, b in ranges:
+        wanted |= set(range(max(0, bisect.bisect_right(starts, a) - 1), bisect.bisect_left(starts, b)))
+    wanted |= {p.index[k]["leader"] for k in wanted}
+    return dataclasses.replace(p, index=[p.index[k] for k in sorted(wanted)])
+
+
+def read_span(piece: Piece) -> Iterator[tuple[int, bytes]]:
+    """(start, bytes) of a span's populated stretches."""
+    p, h = piece.partition, piece.header
+    f = p.open_random()
+    if h is None:
+        for at in range(piece.start, piece.stop, SEGMENT):
+            yield at, _exactly(f, p.offset + at, min(SEGMENT, piece.stop - at))
+        return
+    first = piece.start // h.block_size
+    bitmap = partclone.read_part(f, h, first, -(-piece.stop // h.block_size), piece.rank)
+    for lo, hi, populated, at in partclone.extents(h, bitmap):
+        if populated:
+            for a in range(lo, hi, SEGMENT):
+                yield a, _exactly(f, at + a - lo, min(SEGMENT, hi - a))
 
 
 def stream_segments(p: Partition) -> Iterator[tuple[int, bytes]]:
@@ -111,11 +202,23 @@ def stream_segments(p: Partition) -> Iterator[tuple[int, bytes]]:
         left = None if left is None else left - len(data)
 
 
+def stored_index(path: str) -> dict[tuple[str, str], list[dict]]:
+    """The chunks that ``sinks.store_tables`` has kept, by container and partition."""
+    import pyarrow.dataset as ds
+
+    out: dict[tuple[str, str], list[dict]] = {}
+    for r in ds.dataset(os.path.join(path, "block_index") if os.path.isdir(os.path.join(path, "block_index")) else path, format="parquet").to_table().to_pylist():
+        out.setdefault((r["container"], r["partition"]), []).append(r)
+    return {k: sorted(v, key=lambda r: r["block_no"]) for k, v in out.items()}
+
+
 class ImageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.table = options.get("table", "files")
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(";") if p]
         self.wanted = [p for p in options.get("partitions", "").split(",") if p]
+        self.stored = options.get("index")
+        self.trailing_nulls = int(options.get("trailing_nulls", 0))
         self.only: list[str] | None = None
         if not self.paths:
             raise ValueError("option paths is needed")
@@ -140,13 +243,13 @@ class ImageReader(DataSourceReader):
         if self.table == "containers":
             firsts = {p.container: p for p in reversed(found)}
             return [Piece(p) for p in firsts.values()]
+        if self.table in ("segments", "files"):
+            known = stored_index(self.stored) if self.stored else {}
+            for p in found:
+                p.find_index(known.get((p.container, p.name)))
         if self.table != "segments":
             return [Piece(p) for p in found]
-        out = []
-        for p in found:
-            size = device(p)[0] if p.seekable else None
-            out += [Piece(p, a, min(a + SPAN, size)) for a in range(0, size, SPAN)] if size is not None else [Piece(p)]
-        return out
+        return [piece for p in found for piece in (spans(p) if p.seekable else [Piece(p)])]
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         p = partition.partition
@@ -177,19 +280,12 @@ class ImageReader(DataSourceReader):
                 for row in partclone.extents(h, bitmap):
                     yield *own, *row
         elif self.table == "block_index":
-            if p.layers[:1] == ["bzip2"]:
-                for r in build_index(Volumes(p.volumes).read()):
-                    yield *own, *(r[k] for k in ("block_no", "c_start_byte", "c_start_bit", "c_end_byte", "c_end_bit", "u_start", "u_end", "leader"))
+            if len(p.layers) == 1 and p.layers[0] in INDEXED:
+                for r in build_index(Volumes(p.volumes), p.layers[0], self.trailing_nulls):
+                    yield *own, *(r[k] for k in ("block_no", "c_start_byte", "c_start_bit", "c_end_byte", "c_end_bit", "u_start", "u_end", "leader")), p.layers[0], r["extra"]
         elif self.table == "segments":
-            if partition.stop is None:
-                for at, data in stream_segments(p):
-                    if any(data):
-                        yield *own, at, at + len(data), data
-                return
-            _, _, read = device(p)
-            for at in range(partition.start, partition.stop, SEGMENT):
-                data = read(at, min(SEGMENT, partition.stop - at))
-                if any(data):
+            for at, data in stream_segments(p) if partition.stop is None else read_span(partition):
+                if data.count(0) < len(data):
                     yield *own, at, at + len(data), data
         elif self.table == "files":
             yield from self._files(p, own)
@@ -198,24 +294,19 @@ class ImageReader(DataSourceReader):
 
     def _files(self, p: Partition, own: tuple[str, str]) -> Iterator[tuple]:
         size, _, read = device(p)
-        if read is None or size is None:
-            data = bytearray()
-            for at, part in stream_segments(p):
-                data[len(data) :] = bytes(max(0, at - len(data)))
-                data[at:] = part
-            f = io.BytesIO(data)
-        else:
-            f = io.BufferedReader(_Device(size, read))
-        volume = open_volume(f)
-        if volume is None:
-            return  # no filesystem that is known: no rows
-        for k, (path, folder, n, modified, created, accessed, _) in enumerate(volume.walk()):
-            yield *own, k, path, path.replace("/", "\\"), folder, n, modified, created, accessed, None
+        k = 0
+        for prefix, volume in volumes_of(lambda: io.BufferedReader(_Device(size, read), 1 << 16)):
+            for path, folder, n, modified, created, accessed, _ in volume.walk():
+                path = f"{prefix}/{path}" if prefix else path
+                yield *own, k, path, path.replace("/", "\\"), folder, n, modified, created, accessed, None
+                k += 1
 
 
 class _Device(io.RawIOBase):
-    def __init__(self, size: int, read):
-        self._size, self._read, self._at = size, read, 0
+    """A device as a file; a size that is not known is taken for endless."""
+
+    def __init__(self, size: int | None, read):
+        self._size, self._read, self._at = 1 << 62 if size is None else size, read, 0
 
     def readable(self) -> bool:
         return True
@@ -235,7 +326,8 @@ class _Device(io.RawIOBase):
 
 
 class DiskImageSource(DataSource):
-    """Options: table, paths (separated by ``;``), partitions (separated by ``,``; all without it)."""
+    """Options: table, paths (separated by ``;``), partitions (separated by ``,``; all without it), index (a
+    folder of stored tables, whose ``block_index`` is used), trailing_nulls (see ``bzip2_index``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -257,6 +349,9 @@ def register(spark) -> None:
     spark.dataSource.register(DiskImageSource)
 
 
-def load(spark, paths: list[str], table: str, partitions: list[str] | None = None):
+def load(spark, paths: list[str], table: str, partitions: list[str] | None = None, index: str | None = None, trailing_nulls: int = 0):
     register(spark)
-    return spark.read.format("diskimage").option("table", table).option("paths", ";".join(paths)).option("partitions", ",".join(partitions or [])).load()
+    reader = spark.read.format("diskimage").option("table", table).option("paths", ";".join(paths)).option("partitions", ",".join(partitions or []))
+    if index:
+        reader = reader.option("index", index)
+    return reader.option("trailing_nulls", str(trailing_nulls)).load()

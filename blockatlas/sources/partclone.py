@@ -82,58 +82,196 @@ def read_header(f) -> Header:
     return found
 
 
-def read_bitmap(f, header: Header) -> np.ndarray:
-    """One boolean a block; the stream is then at the content."""
+def header_bytes(fs: str, device_size: int, total_blocks: int, used_blocks: int, block_size: int, blocks_per_checksum: int, checksum_size: int) -> bytes:
+    """The header of a version 0002 image with a bitmap of bits, up to the bitmap; its own checksum is left empty."""
+    head = MAGIC + b"\0" + b"0.3.20".ljust(14, b"\0") + b"0002" + struct.pack("<H", LITTLE_ENDIAN_MARK)
+    sizes = struct.pack("<16sQQQQI", fs.encode(), device_size, total_blocks, used_blocks, used_blocks, block_size)
+    options = struct.pack("<IHHHHIBB", 18, 2, 64, 0x20 if checksum_size else 0, checksum_size, blocks_per_checksum, 1, 1)
+    return head + sizes + options + bytes(4)
+
+
+STRIDE = 16_384  # blocks to one rank; a multiple of 64
+READ = 8 << 20
+
+
+class Bitmap:
+    """Packed bits of blocks ``first`` and on, with the populated blocks before each stride.
+
+    ``first`` is a multiple of 8 and ``rank`` the number of populated blocks before it, so a task can
+    hold a part of a device's bitmap. Memory is an eighth of a byte a block and 8 bytes a stride.
+    """
+
+    def __init__(self, packed: np.ndarray, n: int, first: int = 0, rank: int = 0):
+        self.packed, self.n, self.first = packed, n, first
+        width = STRIDE // 8
+        counts = [int(np.bitwise_count(packed[k : k + width]).sum(dtype=np.int64)) for k in range(0, len(packed), width)]
+        self.base = rank + np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self._held: tuple[int, np.ndarray] = (-1, np.zeros(0, bool))
+
+    def __len__(self) -> int:
+        return self.n
+
+    def stride(self, k: int) -> np.ndarray:
+        """The bits of stride ``k``, counted from ``first``."""
+        if self._held[0] != k:
+            part = self.packed[k * STRIDE // 8 : (k + 1) * STRIDE // 8]
+            self._held = k, np.unpackbits(part, bitorder="little")[: self.n - k * STRIDE].astype(bool)
+        return self._held[1]
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.packed, bitorder="little")[: self.n].astype(bool)
+
+    def run(self, block: int) -> tuple[bool, int, int]:
+        """Of a block: whether it is populated, the populated blocks before it, and how many from it on are alike."""
+        k, i = divmod(block - self.first, STRIDE)
+        bits = self.stride(k)
+        flag = bool(bits[i])
+        used = int(self.base[k]) + int(bits[:i].sum())
+        other = np.flatnonzero(bits[i:] != flag)
+        if len(other):
+            return flag, used, int(other[0])
+        length, k = len(bits) - i, k + 1
+        while k * STRIDE < self.n:
+            size = min(STRIDE, self.n - k * STRIDE)
+            populated = int(self.base[k + 1] - self.base[k])
+            if populated != (size if flag else 0):
+                bits = self.stride(k)
+                return flag, used, length + int(np.flatnonzero(bits != flag)[0])
+            length, k = length + size, k + 1
+        return flag, used, length
+
+    def highest(self) -> int:
+        """The last populated block, -1 if there is none."""
+        for k in range(len(self.base) - 2, -1, -1):
+            if self.base[k + 1] > self.base[k]:
+                return self.first + k * STRIDE + int(np.flatnonzero(self.stride(k))[-1])
+        return -1
+
+
+def pack(bits) -> Bitmap:
+    bits = np.asarray(bits, bool)
+    return Bitmap(np.packbits(bits, bitorder="little"), len(bits))
+
+
+def _packed_parts(f, header: Header):
+    """The bitmap's bits from the stream, packed, a bounded part at a time; the stream is then at the content."""
     n = header.total_blocks
     if header.bitmap_mode == "BIT":
-        raw = np.frombuffer(_exactly(f, -(-n // 8)), np.uint8)
+        left = -(-n // 8)
+        while left:
+            raw = np.frombuffer(_exactly(f, min(READ, left)), np.uint8)
+            left -= len(raw)
+            if not left and n % 8:
+                raw = raw.copy()
+                raw[-1] &= (1 << n % 8) - 1
+            yield raw
         _exactly(f, 4)
-        return np.unpackbits(raw, bitorder="little")[:n].astype(bool)
-    if header.bitmap_mode == "BYTE":
-        raw = np.frombuffer(_exactly(f, n), np.uint8)
+    elif header.bitmap_mode == "BYTE":
+        left = n
+        while left:
+            raw = np.frombuffer(_exactly(f, min(READ, left)), np.uint8)
+            left -= len(raw)
+            yield np.packbits(raw != 0, bitorder="little")  # any byte but zero is a populated block
         _exactly(f, 8)
-        return raw == 1
-    raise ValueError(f"bitmap mode {header.bitmap_mode} cannot be read")
+    else:
+        raise ValueError(f"bitmap mode {header.bitmap_mode} cannot be read")
+
+
+def read_bitmap(f, header: Header) -> Bitmap:
+    """The whole bitmap; the stream is then at the content."""
+    parts = list(_packed_parts(f, header))
+    return Bitmap(np.concatenate(parts) if parts else np.zeros(0, np.uint8), header.total_blocks)
 
 
-def extents(header: Header, bitmap: np.ndarray) -> list[tuple[int, int, bool, int | None]]:
+def ranks(f, header: Header, step: int) -> list[int]:
+    """Populated blocks before blocks 0, step, 2 * step and on (step a multiple of 64), from one pass in bounded memory."""
+    out, total, at = [0], 0, 0
+    for part in _packed_parts(f, header):
+        start = 0
+        while start < len(part):
+            stop = min(len(part), start + step // 8 - at)
+            total += int(np.bitwise_count(part[start:stop]).sum(dtype=np.int64))
+            at, start = at + stop - start, stop
+            if at == step // 8:
+                out.append(total)
+                at = 0
+    return out
+
+
+def read_part(f, header: Header, first: int, stop: int, rank: int) -> Bitmap:
+    """The bits of blocks ``first`` (a multiple of 8) up to ``stop`` of a seekable stream."""
+    n = min(stop, header.total_blocks) - first
+    if header.bitmap_mode == "BIT":
+        f.seek(header.bitmap_start + first // 8)
+        raw = np.frombuffer(_exactly(f, -(-n // 8)), np.uint8)
+        if n % 8:
+            raw = raw.copy()
+            raw[-1] &= (1 << n % 8) - 1
+    elif header.bitmap_mode == "BYTE":
+        f.seek(header.bitmap_start + first)
+        raw = np.packbits(np.frombuffer(_exactly(f, n), np.uint8) != 0, bitorder="little")
+    else:
+        raise ValueError(f"bitmap mode {header.bitmap_mode} cannot be read")
+    return Bitmap(raw, n, first, rank)
+
+
+def content_start(header: Header, used: int) -> int:
+    """Where the content of the block behind ``used`` populated ones lies: a checksum follows each whole strip."""
+    strips = used // header.blocks_per_checksum if header.blocks_per_checksum else 0
+    return header.start_of_content + used * header.block_size + strips * header.checksum_size
+
+
+def extents(header: Header, bitmap: Bitmap):
     """(out_start, out_end, is_populated, content_start): runs cut at strips, up to the device size."""
-    size, n = header.block_size, len(bitmap)
-    used = np.concatenate([[0], np.cumsum(bitmap)])[:-1]
-    per = header.blocks_per_checksum
-    strip = used // per if per else np.zeros(n, np.int64)
-    key = np.where(bitmap, strip, -1)
-    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bitmap[1:] != bitmap[:-1])])) if n else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], n) if n else starts
-    out = []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        lo, hi = a * size, min(b * size, header.device_size)
-        if hi > lo:
-            at = header.start_of_content + int(used[a]) * size + int(strip[a]) * header.checksum_size if bitmap[a] else None
-            out.append((lo, hi, bool(bitmap[a]), at))
-    if header.device_size > n * size:
-        if out and not out[-1][2]:
-            out[-1] = (out[-1][0], header.device_size, False, None)
+    size, per = header.block_size, header.blocks_per_checksum
+    block, end = bitmap.first, bitmap.first + len(bitmap)
+    last = None
+    while block < end:
+        flag, used, n = bitmap.run(block)
+        done = 0
+        while done < n:
+            step = min(n - done, per - (used + done) % per) if flag and per else n - done
+            lo, hi = (block + done) * size, min((block + done + step) * size, header.device_size)
+            if hi > lo:
+                if last:
+                    yield last
+                last = lo, hi, flag, content_start(header, used + done) if flag else None
+            done += step
+        block += n
+    if end == header.total_blocks and header.device_size > end * size:
+        if last and not last[2]:
+            last = last[0], header.device_size, False, None
         else:
-            out.append((n * size, header.device_size, False, None))
-    return out
+            if last:
+                yield last
+            last = end * size, header.device_size, False, None
+    if last:
+        yield last
 
 
 class ContentMap:
     """Any position of the device: populated or empty, where its bytes are, and how far that holds."""
 
-    def __init__(self, header: Header, bitmap: np.ndarray):
-        self.header, self.extents = header, extents(header, bitmap)
-        self._starts = np.array([e[0] for e in self.extents], np.int64)
-        populated = [e[1] for e in self.extents if e[2]]
-        self.null_from = max(populated, default=0)
+    def __init__(self, header: Header, bitmap: Bitmap):
+        self.header, self.bitmap = header, bitmap
+        self.null_from = min(header.device_size, (bitmap.highest() + 1) * header.block_size)
 
     def locate(self, position: int, count: int) -> tuple[bool, int | None, int]:
         """(is_populated, content offset, length); length 0 outside the device or for no bytes."""
-        if position < 0 or position >= self.header.device_size or count <= 0:
+        h = self.header
+        if position < 0 or position >= h.device_size or count <= 0:
             return False, None, 0
-        lo, hi, populated, at = self.extents[int(np.searchsorted(self._starts, position, "right")) - 1]
-        return populated, at + position - lo if populated else None, min(count, hi - position)
+        block, inside = divmod(position, h.block_size)
+        most = min(count, h.device_size - position)
+        if block >= h.total_blocks:
+            return False, None, most
+        flag, used, n = self.bitmap.run(block)
+        if not flag:
+            reach = most if block + n >= h.total_blocks else n * h.block_size - inside
+            return False, None, min(most, reach)
+        if h.blocks_per_checksum:
+            n = min(n, h.blocks_per_checksum - used % h.blocks_per_checksum)
+        return True, content_start(h, used) + inside, min(most, n * h.block_size - inside)
 
     def rest_is_null(self, position: int) -> bool:
         return position >= self.null_from
@@ -157,13 +295,14 @@ class ContentMap:
         return b"".join(out)
 
 
-def strides(bitmap: np.ndarray, stride: int = 16_384) -> list[tuple[int, int, list[int]]]:
-    """(stride_no, base_rank, 64-bit words) of the packed bitmap."""
+def strides(bitmap: Bitmap | np.ndarray, stride: int = STRIDE) -> list[tuple[int, int, list[int]]]:
+    """(stride_no, base_rank, 64-bit words) of the packed bitmap; a stride is a multiple of 8 blocks."""
+    if not isinstance(bitmap, Bitmap):
+        bitmap = pack(bitmap)
     out, rank = [], 0
     for k in range(0, len(bitmap), stride):
-        part = bitmap[k : k + stride]
-        packed = np.packbits(part, bitorder="little")
+        packed = bitmap.packed[k // 8 : (k + stride) // 8]
         words = np.frombuffer(packed.tobytes().ljust(-(-len(packed) // 8) * 8, b"\0"), "<i8")
         out.append((k // stride, rank, words.tolist()))
-        rank += int(part.sum())
+        rank += int(np.bitwise_count(packed).sum(dtype=np.int64))
     return out

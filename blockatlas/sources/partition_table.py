@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 SECTOR = 512
+SECTORS = (512, 4096)  # sizes at which a GPT header is looked for
 EXTENDED = (0x05, 0x0F, 0x85)
 
 
@@ -13,13 +14,19 @@ def _read(f, at: int, n: int) -> bytes:
     return f.read(n)
 
 
-def partitions(f, sector: int = SECTOR) -> list[tuple[str, int, int]]:
-    """(name, offset, length) of each partition, named partition0, partition1 and on; empty without a table."""
+def partitions(f, sector: int | None = None) -> list[tuple[str, int, int]]:
+    """(name, offset, length) of each partition, named partition0, partition1 and on; empty without a table.
+
+    Without ``sector`` a GPT's sector size is found by its header's place; an MBR counts in 512 bytes.
+    """
     boot = _read(f, 0, 512)
     if len(boot) < 512 or boot[510:512] != b"\x55\xaa":
         return []
     entries = [struct.unpack("<B3xB3xII", boot[446 + 16 * k : 462 + 16 * k]) for k in range(4)]
-    if any(kind == 0xEE for _, kind, _, _ in entries) and _read(f, sector, 8) == b"EFI PART":
+    protective = any(kind == 0xEE for _, kind, _, _ in entries)
+    sizes = [n for n in ((sector,) if sector else SECTORS) if protective and _read(f, n, 8) == b"EFI PART"]
+    sector = sizes[0] if sizes else sector or SECTOR
+    if sizes:
         found = _gpt(f, sector)
     elif any(status not in (0x00, 0x80) for status, kind, _, _ in entries if kind):
         return []  # a boot sector of a filesystem, not a table

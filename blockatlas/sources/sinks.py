@@ -55,3 +55,8 @@ def store_tables(spark, paths: list[str], out: str, partitions: list[str] | None
 
     for name in ("files", "block_index", "bitmap_strides", "extents", "headers", "partitions"):
         load(spark, paths, name, partitions).write.mode("overwrite").parquet(f"{out}/{name}")
+
+
+def read_table(spark, out: str, name: str) -> DataFrame:
+    """A table that ``store_tables`` has kept; no image is opened."""
+    return spark.read.parquet(f"{out}/{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import lzma
 import struct
 import zlib
@@ -26,25 +27,39 @@ def _put(n: int) -> bytes:
     return out + bytes([n])
 
 
-def build_index(data: bytes) -> list[dict]:
-    """One row a block over all streams: block_no, c_start, unpadded (size), u_start, u_end, flags."""
-    streams, end = [], len(data)
+def build_index(f) -> list[dict]:
+    """One row a block over all streams: block_no, c_start, unpadded (size), u_start, u_end, flags.
+
+    ``f``: bytes or a seekable file, of which headers, indexes and footers are read and nothing else.
+    """
+    if isinstance(f, bytes):
+        f = io.BytesIO(f)
+
+    def read(start: int, stop: int) -> bytes:
+        f.seek(max(0, start))
+        data = b""
+        while len(data) < stop - max(0, start) and (more := f.read(stop - max(0, start) - len(data))):
+            data += more
+        return data
+
+    streams, end = [], f.seek(0, 2)
     while end > 0:
-        while end >= 4 and data[end - 4 : end] == bytes(4):
+        while end >= 4 and read(end - 4, end) == bytes(4):
             end -= 4  # padding between streams
-        foot = data[end - 12 : end]
-        if foot[10:] != FOOTER or zlib.crc32(foot[4:10]) != struct.unpack("<I", foot[:4])[0]:
+        foot = read(end - 12, end)
+        if len(foot) < 12 or foot[10:] != FOOTER or zlib.crc32(foot[4:10]) != struct.unpack("<I", foot[:4])[0]:
             raise ValueError("no xz footer")
         size, flags = (struct.unpack("<I", foot[4:8])[0] + 1) * 4, foot[8:10]
         at = end - 12 - size
-        n, p = _varint(data, at + 1)
+        listed = read(at, end - 12)
+        n, p = _varint(listed, 1)
         records = []
         for _ in range(n):
-            unpadded, p = _varint(data, p)
-            length, p = _varint(data, p)
+            unpadded, p = _varint(listed, p)
+            length, p = _varint(listed, p)
             records.append((unpadded, length))
         start = at - sum(-(-u // 4) * 4 for u, _ in records)
-        if data[start - 12 : start - 6] != HEADER:
+        if read(start - 12, start - 6) != HEADER:
             raise ValueError("xz index and blocks do not agree")
         streams.append((start, records, flags))
         end = start - 12
