@@ -38,11 +38,11 @@ def micros_to_filetime(micros: Column) -> Column:
     return micros * 10 + F.lit(EPOCH_TICKS)
 
 
-def codec_of_name(name: Column) -> Column:
-    """Codec by extension; a split volume's ``.aa`` is passed over; null for one that is not known."""
+def codec_of_name(name: Column, strict: bool = False) -> Column:
+    """Codec by extension; a split volume's ``.aa`` is passed over. One that is not known is null, or with ``strict`` an error."""
     base = F.regexp_replace(name, r"\.aa$", "")
     extension = F.regexp_extract(base, r"\.([^.]*)$", 1)
-    out = F.lit(None).cast("string")
+    out = F.raise_error(F.concat(F.lit("no codec for "), name)) if strict else F.lit(None).cast("string")
     for e, codec in EXTENSIONS.items():
         out = F.when(extension == e, codec).otherwise(out)
     return out

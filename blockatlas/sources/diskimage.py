@@ -78,12 +78,17 @@ class Piece(InputPartition):
         self.partition, self.start, self.stop, self.header, self.rank = partition, start, stop, header, rank
 
 
-def _exactly(f, at: int, n: int) -> bytes:
-    f.seek(at)
+def _up_to(f, n: int) -> bytes:
+    """The next ``n`` bytes of a stream, fewer only at its end."""
     data = b""
     while len(data) < n and (more := f.read(n - len(data))):
         data += more
-    return data.ljust(n, b"\0")  # a slice reaches past a short image: zeros
+    return data
+
+
+def _exactly(f, at: int, n: int) -> bytes:
+    f.seek(at)
+    return _up_to(f, n).ljust(n, b"\0")  # a slice reaches past a short image: zeros
 
 
 def raw_size(p: Partition, f) -> int | None:
@@ -111,10 +116,7 @@ def device(p: Partition):
 
         def some(at: int, n: int) -> bytes:
             f.seek(p.offset + at)
-            data = b""
-            while len(data) < n and (more := f.read(n - len(data))):
-                data += more
-            return data
+            return _up_to(f, n)
 
         return None, None, some
     return size, None, lambda at, n: _exactly(f, p.offset + at, max(0, min(n, size - at)))
@@ -185,7 +187,7 @@ def stream_segments(p: Partition) -> Iterator[tuple[int, bytes]]:
             if populated:
                 f.skip_to(base + at - header.start_of_content)
                 while lo < hi:
-                    data = f.read(min(SEGMENT, hi - lo))
+                    data = _up_to(f, min(SEGMENT, hi - lo))
                     if not data:
                         break
                     yield lo, data
@@ -194,7 +196,7 @@ def stream_segments(p: Partition) -> Iterator[tuple[int, bytes]]:
     f.skip_to(p.offset)
     at, left = 0, p.length
     while left is None or left > 0:
-        data = f.read(SEGMENT if left is None else min(SEGMENT, left))
+        data = _up_to(f, SEGMENT if left is None else min(SEGMENT, left))
         if not data:
             break
         yield at, data

@@ -38,6 +38,13 @@ def test_small_functions(spark):
     assert one(spark, scalar.to_hex(F.lit(b"\x0a"))) == "0A"
 
 
+def test_unknown_codecs_are_an_error_where_asked_for(spark):
+    assert one(spark, scalar.codec_of_name(F.lit("sda1.x.zst.aa"), strict=True)) == "zstd"
+    assert one(spark, scalar.codec_of_name(F.lit("sda1.rar"))) is None
+    with pytest.raises(Exception, match="no codec for sda1.rar"):
+        one(spark, scalar.codec_of_name(F.lit("sda1.rar"), strict=True))
+
+
 @pytest.mark.parametrize("p,name,hit", [("*.htm", "x.html", True), ("*.htm", "x.ht", False), ("?.htm", "x.html", False), ("A*", "abc", True), ("a.c", "abc", False), ("*", "anything", True), ("a|b", "a|b", False), ("", "", False)])
 def test_patterns(spark, p, name, hit):
     assert one(spark, pattern.matches(F.lit(name), p)) is hit
@@ -91,3 +98,16 @@ def test_strided_windows_with_gaps(spark):
     same = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a")], "k long, v string")
     assert [r.leader for r in ordered.consecutive_leader(same, "k", "v").orderBy("k").collect()] == [1, 1, 3]
     assert ordered.prefix_count(df.limit(0), "k", F.lit(1), "n").count() == 0
+
+
+def test_strides_of_sparse_keys(spark):
+    import random
+
+    rng = random.Random(7)
+    keys = sorted({rng.randrange(-(1 << 60), 1 << 60) for _ in range(3000)} | {1 << 62, 5, 6, 7})
+    df = spark.createDataFrame([(k, k % 3) for k in keys], "k long, v long")
+    seg = ordered.with_stride(df, "k", 100)
+    sizes = [r["count"] for r in seg.groupBy("_seg").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 500  # neither a stride a row nor one for all
+    got = {r.k: (r.n, r.prev_k, r.next_k) for r in ordered.neighbours(ordered.row_number(df, "k", "n", stride=100), "k", {"k": "k"}, stride=100).collect()}
+    assert got == {k: (i, keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)}

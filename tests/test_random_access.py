@@ -199,3 +199,14 @@ def test_cat_of_a_compressed_partition(spark, tmp_path):
     (tmp_path / "drive.img.gz").write_bytes(gzip.compress(drive))
     assert cli.main(["cat", "--input", str(tmp_path / "drive.img.gz"), "-p", "partition2", "--start", "1", "--stop", "6", "--output", str(tmp_path / "o")]) == 0
     assert (tmp_path / "o").read_bytes() == b"ere\0\0"
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.compress, lzip], ids=["gzip", "zstd", "lzip"])
+def test_streamed_segments_end_where_extents_do(tmp_path, pack):
+    """Decoders give their bytes in pieces of any length; segments are filled up all the same."""
+    bits = [1] * 30_000 + [0] * 100 + [1] * 30_000
+    path = tmp_path / "x.img.packed"
+    path.write_bytes(pack(v2(bits, 64, 0, 0)))
+    codec = {gzip.compress: "gzip", zstandard.compress: "zstd", lzip: "lzip"}[pack]
+    p = containers.Partition("x", "p", "partclone", [str(path)], [codec])
+    assert [(a, len(d)) for a, d in diskimage.stream_segments(p)] == [(0, 30_000 * 64), (30_100 * 64, 30_000 * 64)]
