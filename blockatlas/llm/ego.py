@@ -40,7 +40,7 @@ from .vectors import scaled, select_vectors, shared_lengths, stack, usable
 
 THRESHOLD = 0.95
 DIRECTIONS = 8
-BLOCK_ROWS = 2048
+BLOCK_ROWS, BLOCK_VALUES = 2048, 1 << 18  # a block has at most so many rows and (from 64 rows on) numbers
 LEAF_ROWS = 256
 FAN = 16
 TILE = 8  # blocks to a side of a tile of block pairs
@@ -136,6 +136,7 @@ def links_of_length(classes: DataFrame, dim: int, threshold: float) -> DataFrame
     """(cid, root, n): links between classes (cid, rows, vec) of one length, as counts and a spanning forest."""
     scratch = Scratch(classes.sparkSession, "ego-length")
     eps = float(np.sqrt(2 - 2 * threshold))
+    block_rows = min(BLOCK_ROWS, max(64, BLOCK_VALUES // dim))
     axes = principal_directions(classes, dim)
     n = axes.shape[1]
     cells_ddl = "cid long, rows long, vec array<double>, p array<double>, " + ", ".join(f"c{d} int" for d in range(n))
@@ -166,17 +167,17 @@ def links_of_length(classes: DataFrame, dim: int, threshold: float) -> DataFrame
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                piece = batch.slice(at, BLOCK_ROWS - size)
+                piece = batch.slice(at, block_rows - size)
                 held.append(piece)
                 size += piece.num_rows
                 at += piece.num_rows
-                if size == BLOCK_ROWS:
+                if size == block_rows:
                     yield block(held)
                     held, size, seq = [], 0, seq + 1
         if size:
             yield block(held)
 
-    parts = max(1, -(-classes.count() // (8 * BLOCK_ROWS)))
+    parts = max(1, -(-classes.count() // (8 * block_rows)))
     ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     cut_up = scratch.save(ordered.mapInArrow(cut, blob_ddl), "cut")
     # Numbers keep the order; gaps between parts are harmless, and no window over all blocks is needed.

@@ -34,7 +34,7 @@ from .arrow import batch_of, schema_of
 from .store import Scratch
 from .vectors import lengths_of, select_vectors, shared_lengths, stack
 
-SHARD_ROWS = 8192
+SHARD_ROWS, SHARD_VALUES = 8192, 1 << 22  # a shard has at most so many rows and (from 64 rows on) numbers
 QUERY_BLOCK = 1024
 LEAF = 48
 FACTOR = 0.3
@@ -230,7 +230,7 @@ def top_tree(vectors: DataFrame, dim: int, rows: int, shard_rows: int) -> TopTre
     return TopTree(VpTree(np.arange(len(x)), x, leaf=max(TOP_LEAF, -(-len(x) // regions))))
 
 
-def build_index(vectors: DataFrame, scratch: Scratch, dim: int, rows: int, shard_rows: int = SHARD_ROWS) -> tuple[TopTree, DataFrame, DataFrame]:
+def build_index(vectors: DataFrame, scratch: Scratch, dim: int, rows: int, shard_rows: int) -> tuple[TopTree, DataFrame, DataFrame]:
     """From (vec_id, vec): the top tree, (region, salts), and the index table (region, salt, tree)."""
     top = top_tree(vectors, dim, rows, shard_rows)
     shipped = vectors.sparkSession.sparkContext.broadcast(top)
@@ -312,14 +312,14 @@ def search(top: TopTree, sizes: DataFrame, index: DataFrame, queries: DataFrame,
     return every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 10, factor: float = FACTOR, shard_rows: int | None = None) -> DataFrame:
     """The k nearest other rows of every row for which ``is_query`` (a condition on ``vec_id``) holds."""
     scratch = Scratch(df.sparkSession, "vptree")
     vectors = select_vectors(df, id_col, vec_col)
     out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     for dim, rows in shared_lengths(vectors):
         own = vectors.filter(F.size("vec") == dim)
-        top, sizes, index = build_index(own, scratch, dim, rows, shard_rows)
+        top, sizes, index = build_index(own, scratch, dim, rows, shard_rows or min(SHARD_ROWS, max(64, SHARD_VALUES // dim)))
         queries = own.filter(is_query).select(F.col("vec_id").alias("query_id"), "vec")
         out = out.unionByName(search(top, sizes, index, queries, scratch, dim, queries.count(), k, factor))
     return out

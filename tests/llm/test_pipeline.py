@@ -87,3 +87,26 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark, sf_dir):
     out = cp.stage_near_duplicates(spark, docs(spark, HOSTILE), sf_dir)
     ids = [r.doc_id for r in out.collect()]
     assert ids.count(4) == 1 and 5 not in ids and ids.count(None) <= 2
+
+
+def test_near_duplicates_are_decided_row_by_row(spark, sf_dir):
+    """Ids may repeat or be null: each group keeps one row, whatever other rows carry its id."""
+    base, other = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    near = lambda w, k: " ".join([*w[:k], "x", *w[k + 1 :]])
+    rows = [(1, " ".join(base), "s"), (1, near(base, 5), "s"), (1, " ".join(other), "s"), (None, near(other, 7), "s"), (None, near(base, 59), "s"), (None, "alone and unlike all other texts", "s"), (None, "", "s"), (None, None, "s")]
+    got = sorted(rows_of(cp.stage_near_duplicates(spark, docs(spark, rows + rows[:2]), sf_dir)), key=str)
+    about = lambda letter: [r for r in got if r[1] and r[1].split()[0].startswith(letter) and "alone" not in r[1]]
+    assert len(about("a")) == 1 and about("a")[0][0] == 1 and about("b") == [(1, " ".join(other), "s")]
+    assert (None, "alone and unlike all other texts", "s") in got and (None, "", "s") in got and (None, None, "s") in got and len(got) == 5
+
+
+def test_runs_in_one_session_leave_only_their_result(spark, sf_dir):
+    import os
+
+    from blockatlas.llm import store
+
+    first = len(store._LEFT)
+    results = [cp.run(spark, sf_dir) for _ in range(2)]
+    kept = [sorted(os.listdir(root.removeprefix("file://"))) for _, root in store._LEFT[first:] if os.path.isdir(root.removeprefix("file://"))]
+    assert kept == [["stage4"], ["stage4"]]
+    assert results[0].count() == results[1].count() > 0
