@@ -27,7 +27,7 @@ Defined results
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +36,14 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import batch_of, id_crc, pieces, schema_of
+from .arrow import batch_of, give_back, id_crc, pieces, schema_of
 from .store import Scratch
 
 DEPTH = 5
 CHUNK_BYTES = 24 << 20
 BUNDLE_GRAMS = 400_000
 GROUP_CHUNKS = 4096
+MERGE_KEYS = 500_000
 END = b"\n"
 UPPER = 2  # depths up to this one are mixed on the driver
 _TABLE = np.array([math.lgamma(i + 0.5) for i in range(4096)])
@@ -187,10 +188,14 @@ def _slices(bodies: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int
 
 
 class _ChunkCounts:
-    """Distinct grams and words of one chunk with how often training texts have them."""
+    """Distinct grams and words (by key) of one chunk with how often training texts have them.
+
+    What is new is gathered until there is as much as is known, then merged at once, so that each key
+    is sorted a few times however many pieces a chunk comes in.
+    """
 
     def __init__(self, depth: int):
-        self.depth, self.grams, self.words = depth, None, defaultdict(int)
+        self.depth, self.known, self.fresh, self.size = depth, None, [], 0
 
     def add(self, bodies: list[bytes], held_out: list[bool]) -> None:
         for out in (False, True):
@@ -198,23 +203,24 @@ class _ChunkCounts:
             for i, j in _slices(own):
                 keys = np.sort(gram_keys(own[i:j], self.depth)[0])
                 at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                n = np.diff(np.append(at, len(keys))) * (not out)
-                self.grams = _merge(self.grams, keys[at], n)
-            words = self.words
-            for b in own:
-                if out:
-                    for w in b.split():
-                        words[w] += 0
-                else:
-                    for w in b.split():
-                        words[w] += 1
+                self._gather(keys[at], np.diff(np.append(at, len(keys))) * (not out))
+                words = Counter(b" ".join(own[i:j]).split())
+                self._gather(np.fromiter(map(word_key, words), np.int64, len(words)), np.fromiter(words.values(), np.int64, len(words)) * (not out))
+
+    def _gather(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.fresh.append((keys, n))
+        self.size += len(keys)
+        if self.size > max(MERGE_KEYS, 0 if self.known is None else len(self.known[0])):
+            self._settle()
+
+    def _settle(self) -> None:
+        if self.fresh:
+            self.known = _merge(self.known, *(np.concatenate(x) for x in zip(*self.fresh, strict=True)))
+            self.fresh, self.size = [], 0
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
-        n = np.fromiter(self.words.values(), np.int64, len(self.words))
-        if self.grams is None:
-            return keys, n
-        return np.concatenate([self.grams[0], keys]), np.concatenate([self.grams[1], n]).astype(np.int64)
+        self._settle()
+        return self.known[0], self.known[1].astype(np.int64)
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES, group_chunks: int = GROUP_CHUNKS) -> DataFrame:
@@ -262,6 +268,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 counts.add(bodies[i:j], out[i:j])
         if counts is not None:
             yield from send(open_chunk, counts)
+        del counts
+        give_back()
 
     def send(chunk, counts):
         keys, n = counts.rows()
@@ -319,21 +327,24 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         order = np.argsort(keys)
         keys, v = keys[order], v[order]
         bodies = left["body"].to_pylist()
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
-        lists = [list(map(ids.__getitem__, b.split())) for b in bodies]
-        known = v[np.searchsorted(keys, np.fromiter(map(word_key, ids), np.int64, len(ids)))] if ids else np.zeros(0)
-        logs = np.log10((known + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-        end = math.log10((ends + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
-        base = [float(logs[x].sum()) + end for x in lists]
-        hits = [int((known[x] > 0).sum()) + (ends > 0) for x in lists]
-        score = np.zeros(len(bodies))
-        for i, j in _slices(bodies):
+        denominator = train_tokens + 0.1 * (distinct + 1)
+        end = math.log10((ends + 0.1) / denominator)
+        n_tokens, hits, base, score = (np.zeros(len(bodies), t) for t in (np.int64, np.int64, float, float))
+        for i, j in _slices(bodies):  # a slice at a time: the words of a whole chunk would fill the task's memory
+            ids: defaultdict[bytes, int] = defaultdict()
+            ids.default_factory = ids.__len__
+            lists = [np.fromiter(map(ids.__getitem__, b.split()), np.int32) for b in bodies[i:j]]
+            known = v[np.searchsorted(keys, np.fromiter(map(word_key, ids), np.int64, len(ids)))] if ids else np.zeros(0)
+            logs = np.log10((known + 0.1) / denominator)
+            for k, x in enumerate(lists, i):
+                n_tokens[k], hits[k], base[k] = len(x) + 1, (known[x] > 0).sum() + (ends > 0), logs[x].sum() + end
             grams, starts = gram_keys(bodies[i:j], depth)
             score[i:j] = np.add.reduceat(v[np.searchsorted(keys, grams)], starts[:-1])
         size = np.array([len(b) + 1 for b in bodies], np.int64)
-        columns = [left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), [len(x) + 1 for x in lists], hits, np.full(len(bodies), train_tokens), base, score, size, -score * math.log2(10) / size]
-        return pa.Table.from_batches([batch_of(schema_of(out_ddl), [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns])])
+        columns = [left["doc_id"].combine_chunks(), left["held_out"].combine_chunks(), n_tokens, hits, np.full(len(bodies), train_tokens), base, score, size, -score * math.log2(10) / size]
+        out = pa.Table.from_batches([batch_of(schema_of(out_ddl), [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns])])
+        give_back()
+        return out
 
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, out_ddl)
 
