@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import batch_of, pieces
+from .arrow import batch_of, give_back, pieces
 
 CACHE_BYTES = 96 << 20  # of pieces that a task has encoded, with what Python needs for each
 CACHE_PAIRS = 400_000
@@ -341,6 +341,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                     yield batch_of(schema, list(zip(*rows, strict=True)))
         finally:
             encoder.forget()  # a reused worker keeps the vocabulary only
+            give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
