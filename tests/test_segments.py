@@ -6,9 +6,11 @@ import random
 import pyarrow as pa
 import pytest
 
-from blockatlas.sources import codecs, containers, diskimage, partclone
+from blockatlas import image_queries
+from blockatlas.sources import codecs, containers, diskimage, partclone, sinks
 
 from .images import expected, v2
+from .oracle import same
 
 RNG = random.Random(5)
 BITS = [RNG.random() < 0.4 for _ in range(3000)] + [0] * 700 + [1] * 500 + [0] * 90
@@ -88,3 +90,17 @@ def test_packed_pieces_keep_their_order(tmp_path, codec, n):
     codecs.compress_file(str(tmp_path / "a"), str(tmp_path / "b"), codec, 1000)
     with open(tmp_path / "b", "rb") as f:
         assert b"".join(codecs.decompress(f, codec)) == data
+
+
+def test_a_file_is_digested_without_being_held(spark, sf_dir, tmp_path):
+    import hashlib
+
+    data = random.Random(1).randbytes(3 << 20) + b"end"
+    (tmp_path / "x").write_bytes(data)
+    found = sinks.digest(spark, str(tmp_path / "x"))
+    assert found.collect() == [(hashlib.md5(data).hexdigest(), len(data))]
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # files of 2 GB and more have no row there
+    try:
+        same(image_queries.q52_extracted_device(spark, sf_dir), image_queries.ORACLES["q52_extracted_device"], sf_dir)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
