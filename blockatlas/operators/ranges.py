@@ -49,8 +49,12 @@ def read_slice(volumes: DataFrame, key: str, payload: Column, start: int, stop:
     return parts.groupBy(key).agg(joined.alias("content_hex")).withColumn("length", (F.length("content_hex") / 2).cast("long"))
 
 
-def concat_md5(df: DataFrame, key: str, order: str, payload: Column, out: str = "md5") -> DataFrame:
-    """MD5 of each key's payloads joined in order, folded row by row, so memory does not grow with a key."""
+def concat_md5(df: DataFrame, key: str, order: str, payload: Column, out: str = "md5", separator: bytes = b"") -> DataFrame:
+    """MD5 of each key's payloads joined in order, folded row by row, so memory does not grow with a key.
+
+    As ``string_agg`` does, null payloads are passed over together with their separator, null orders come last, and a
+    key without any payload has null. Rows of equal order follow their payloads.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,17 +66,26 @@ def concat_md5(df: DataFrame, key: str, order: str, payload: Column, out: str =
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not seen or k != current:
                     if seen:
-                        done.append((current, digest.hexdigest()))
-                    current, digest, seen = k, hashlib.md5(), True
-                digest.update(data or b"")
+                        done.append((current, digest and digest.hexdigest()))
+                    current, digest, seen = k, None, True
+                if data is None:
+                    continue
+                if digest is None:
+                    digest = hashlib.md5()
+                else:
+                    digest.update(separator)
+                digest.update(data)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field(0).type), pa.array([d[1] for d in done])], [key, out])
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], batch.schema.field(0).type), pa.array([d[1] for d in done], pa.string())], [key, out])
             last_type = batch.schema.field(0).type
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([current], last_type), pa.array([digest.hexdigest()])], [key, out])
+            yield pa.RecordBatch.from_arrays([pa.array([current], last_type), pa.array([digest and digest.hexdigest()], pa.string())], [key, out])
 
     rows = df.select(F.col(key), payload.cast("binary").alias("_payload"), F.col(order).alias("_order"))
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, "_order").select(key, "_payload").mapInArrow(fold, f"{key} {kind}, {out} string")
+    # By a hash of the key: an exchange by the key itself is dropped where the input already has one, as that of a join,
+    # and adaptive execution may read that one in parts by mapper, which tears keys apart.
+    ordered = rows.repartition(F.xxhash64(key)).sortWithinPartitions(key, F.col("_order").asc_nulls_last(), "_payload")
+    return ordered.select(key, "_payload").mapInArrow(fold, f"{key} {kind}, {out} string")
 
 
 def zero_fill(df: DataFrame, key: str, length: Column, declared: Column) -> DataFrame:
