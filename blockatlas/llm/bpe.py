@@ -9,6 +9,9 @@ A token may follow another when merging their joint bytes would never join acros
 is decided by replaying how the right edge of the one and the left edge of the other were formed,
 in rank order, and asking at each step whether the edge tokens would have merged first.
 
+The tokens that end at a byte are found by an automaton over all tokens (Aho and Corasick): its
+state names the longest of them, and each token names the next shorter one that ends it.
+
 Defined results
 * null text encodes as the empty text: no ids, empty decoded bytes;
 * a piece that is itself in the vocabulary is that one token, as the reference library has it;
@@ -31,6 +34,7 @@ from .arrow import batch_of, give_back, pieces
 
 CACHE_BYTES = 96 << 20  # of pieces that a task has encoded, with what Python needs for each
 CACHE_PAIRS = 400_000
+CACHE_STEPS = 100_000
 PIECE_COST = 220
 BATCH_BYTES = 1 << 20
 LONG_PIECE = 64
@@ -75,8 +79,49 @@ class Vocabulary:
         #: pair of ids -> whether the second may follow the first; emptied when full.
         self.follows: dict[int, bool] = {}
         self._made: dict[bytes, bool] = {}
-        #: The tokens that merging makes: only those are ever the last of a prefix.
-        self.usable = {t: r for t, r in ranks.items() if self.made(t)}
+        self.size = {r: len(t) for t, r in ranks.items()}
+        #: decimal id -> the token's bytes
+        self.named = {str(r): t for t, r in ranks.items()}
+        self._grow()
+
+    def _grow(self) -> None:
+        """The automaton of the tokens that merging makes: only those are ever the last of a prefix.
+
+        A state stands for the longest end of the bytes so far that begins a token.
+        """
+        #: state and byte -> next state: the tokens' own steps, and as many others as are kept.
+        self.steps: dict[int, int] = {}
+        #: state -> the longest token that ends there (-1: none); token -> the longest other token that ends it.
+        self.ending, self.shorter = [-1], {}
+        level = [(0, t, r) for t, r in self.ranks.items() if self.made(t)]
+        self._fall, self._most_steps, at = [0], 0, 0
+        while level:  # all states of one length, then those of the next: what a state falls back to is known before it
+            deeper = []
+            for state, token, rank in level:
+                key = state << 8 | token[at]
+                after = self.steps.get(key)
+                if after is None:
+                    fall = self.step(self._fall[state], token[at]) if state else 0
+                    after = self.steps[key] = len(self.ending)
+                    self._fall.append(fall)
+                    self.ending.append(self.ending[fall])
+                if at + 1 < len(token):
+                    deeper.append((after, token, rank))
+                else:
+                    self.shorter[rank] = self.ending[self._fall[after]]
+                    self.ending[after] = rank
+            level, at = deeper, at + 1
+        self._most_steps = len(self.steps) + CACHE_STEPS
+
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; kept as long as there is room."""
+        fallen = state
+        while (after := self.steps.get(fallen << 8 | byte)) is None and fallen:
+            fallen = self._fall[fallen]
+        after = after or 0
+        if len(self.steps) < self._most_steps:
+            self.steps[state << 8 | byte] = after
+        return after
 
     def made(self, token: bytes) -> bool:
         """Whether merging the token's bytes gives that token."""
@@ -126,10 +171,10 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """The bytes of one piece and the id of the last token of each of their prefixes (-1 for the empty one)."""
+    """The bytes of one piece and, for each of their prefixes, the id of its last token (-1 for the empty one) and the automaton's state."""
 
     def __init__(self, vocab: Vocabulary, piece: bytes = b""):
-        self.vocab, self.data, self.last = vocab, b"", [-1]
+        self.vocab, self.data, self.last, self.states = vocab, b"", [-1], [0]
         self.append(piece)
 
     def append(self, more: bytes) -> None:
@@ -139,31 +184,34 @@ class PrefixTable:
 
     def _extend(self, first: int, stop: int) -> None:
         """Entries ``first`` to ``stop``: of the tokens that end there exactly one may follow what stands before it."""
-        data, last, vocab = self.data, self.last, self.vocab
-        token_at, follows, longest = vocab.usable.get, vocab.follows.get, vocab.longest
+        data, last, states, vocab = self.data, self.last, self.states, self.vocab
+        step, follows, ending, shorter, size = vocab.steps.get, vocab.follows.get, vocab.ending, vocab.shorter, vocab.size
+        state = states[first - 1]
         for end in range(first, stop):
-            for start in range(end - longest if end > longest else 0, end):
-                token = token_at(data[start:end])
-                if token is None:
-                    continue
-                if start:
-                    ok = follows(last[start] << 32 | token)
-                    if ok is None:
-                        ok = vocab.fits(last[start], token)
-                    if not ok:
-                        continue
-                last.append(token)
-                break
+            byte = data[end - 1]
+            after = step(state << 8 | byte)
+            state = vocab.step(state, byte) if after is None else after
+            token = ending[state]
+            while token >= 0:
+                start = end - size[token]
+                if not start:
+                    break
+                ok = follows(last[start] << 32 | token)
+                if ok or (ok is None and vocab.fits(last[start], token)):
+                    break
+                token = shorter[token]
             else:
                 raise ValueError("a byte is missing from the vocabulary")
+            last.append(token)
+            states.append(state)
 
     def cut(self, length: int) -> None:
         self.data = self.data[:length]
-        del self.last[length + 1 :]
+        del self.last[length + 1 :], self.states[length + 1 :]
 
     def edit(self, start: int, stop: int, new: bytes) -> int:
         """Replace bytes ``start:stop``; returns how many entries had to be found anew."""
-        tail, old = self.data[stop:], self.last[stop + 1 :]
+        tail, old, old_states = self.data[stop:], self.last[stop + 1 :], self.states[stop + 1 :]
         self.cut(start)
         self.append(new)
         work, agree, shift, longest = len(new), 0, len(self.data), self.vocab.longest
@@ -175,15 +223,16 @@ class PrefixTable:
             agree = agree + 1 if token == old[k] and len(self.vocab.bytes_of[token]) <= k + 1 else 0
             if agree >= longest:  # each later entry reads only entries that agree
                 self.last.extend(old[k + 1 :])
+                self.states.extend(old_states[k + 1 :])
                 break
         return work
 
     def ids(self) -> list[int]:
-        out, at, bytes_of = [], len(self.data), self.vocab.bytes_of
+        out, at, last, size = [], len(self.data), self.last, self.vocab.size
         while at:
-            token = self.last[at]
+            token = last[at]
             out.append(token)
-            at -= len(bytes_of[token])
+            at -= size[token]
         return out[::-1]
 
     def tokens(self) -> list[bytes]:
@@ -214,7 +263,8 @@ class Encoder:
             known.clear()
             self._held = 0
         table = PrefixTable(self.vocab)
-        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces):
+        for piece in sorted(pieces):  # code points sort as their bytes do
+            data = piece.encode("utf-8", "surrogatepass")
             rank = ranks.get(data)
             self._held += 2 * len(data) + PIECE_COST
             if rank is not None:
@@ -237,7 +287,7 @@ class Encoder:
     def joined_batch(self, texts: list[str]) -> list[str]:
         """Decimal ids of each text, joined by commas; long pieces are encoded where they stand."""
         lists = [self.pieces(t) for t in texts]
-        self.learn({p for found in lists for p in found if len(p) <= LONG_PIECE}.difference(self._known))
+        self.learn({p for p in set().union(*lists).difference(self._known) if len(p) <= LONG_PIECE})
         known = self._known
         out = []
         for found in lists:
@@ -257,6 +307,10 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.bytes_of.__getitem__, ids))
 
+    def decode_joined(self, joined: str) -> bytes:
+        """The bytes of decimal ids joined by commas."""
+        return b"".join(map(self.vocab.named.__getitem__, joined.split(","))) if joined else b""
+
 
 class EncodedText:
     """A text kept encoded while it is appended to or edited: only text near the edit is split and encoded again.
@@ -329,11 +383,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 rows, size = [], 0
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 for doc_id, joined in zip(batch.column(0).to_pylist(), encoder.joined_batch(texts), strict=True):
-                    ids = list(map(int, joined.split(","))) if joined else []
-                    decoded = encoder.decode(ids)
-                    row = [doc_id, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                    rows.append(row + [ids, decoded] if with_ids else row)
-                    size += len(decoded) if with_ids else 0
+                    decoded = encoder.decode_joined(joined)
+                    row = [doc_id, joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                    if with_ids:
+                        row += [list(map(int, joined.split(","))) if joined else [], decoded]
+                        size += len(decoded)
+                    rows.append(row)
                     if size > 16 << 20:
                         yield batch_of(schema, list(zip(*rows, strict=True)))
                         rows, size = [], 0
